@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import formatdup, leak
+from corpusloom.llm import formatdup, leak, neardup, spans
 from corpusloom.runtime import table
 
 
@@ -27,6 +27,22 @@ def p2_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.where("removed_chars > 0")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = _pieces(spark, sf_dir)
+    index = spans.FingerprintIndex(spark)
+    return spans.shared_chars(pieces, index, index.append(pieces))
+
+
+def p3_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index fed in three batches with a compaction between: what the last batch shares with anything before it."""
+    t = table(spark, sf_dir, "pieces").select("id", "text", F.pmod(F.xxhash64("id"), F.lit(3)).alias("part"))
+    index = spans.FingerprintIndex(spark)
+    index.append(t.where("part = 0"))
+    index.append(t.where("part = 1"))
+    index.compact()
+    return spans.shared_chars(t, index, index.append(t.where("part = 2")))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
     for name, key, fields, kind in (("pieces", "id", ["source", "text"], "record"), ("index_lines", "line_id", ["line"], "line")):
@@ -41,5 +57,16 @@ def p6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.groupBy("tbl", "first_key").agg((F.count(F.lit(1)) + 1).alias("copies"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_spans, p2_clean, p6_found, p6_counts)}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, links = neardup.similar(_pieces(spark, sf_dir), threshold=0.6, run=3)
+    return neardup.similar_ids(members, links)
+
+
+def p7_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates at five words and 0.8: one row per piece with its group and its number of links."""
+    members, links = neardup.similar(_pieces(spark, sf_dir))
+    return neardup.groups(members, links)
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_spans, p2_clean, p3_found, p3_incremental, p6_found, p6_counts, p7_found, p7_groups)}
 ORACLE: dict[str, str] = {}

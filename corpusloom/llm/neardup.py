@@ -137,6 +137,7 @@ def bucket_pairs(far: int):
         held: list[list[np.ndarray]] = []
         for batch in batches:
             cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            cols[2:] = [c.view(U64) for c in cols[2:]]  # bits of a negative number would be those of its absolute value
             if not len(cols[0]):
                 continue
             if cols[0][-1] != cols[0][0] or (held and held[-1][0][-1] != cols[0][0]):

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import formatdup, leak, neardup, spans
-from corpusloom.runtime import table
+from corpusloom.llm import formatdup, leak, mixing, neardup, packing, spans, tokens, truncation
+from corpusloom.runtime import table, written
 
 
 def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,5 +68,43 @@ def p7_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(members, links)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_spans, p2_clean, p3_found, p3_incremental, p6_found, p6_counts, p7_found, p7_groups)}
+def p8_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sequence of each document, or of each part of one above the capacity."""
+    sizes = tokens.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return packing.packed(sizes, "doc_id")
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill(p8_sequences(spark, sf_dir))
+
+
+def p9_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = written(tokens.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text", ("source",)), "sizes")
+    return mixing.uses(sizes, table(spark, sf_dir, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(p9_uses(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(p9_uses(spark, sf_dir))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.truncated(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id")
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source: documents, those cut off, their share, and how many of these have a longer copy."""
+    docs = table(spark, sf_dir, "documents")
+    cut = truncation.truncated(docs, "doc_id", "text")
+    n = F.count(F.lit(1))
+    by = docs.select("doc_id", "source").join(cut, "doc_id", "left").groupBy("source").agg(
+        n.alias("documents"), F.count("reason").alias("cut_off"), F.count_if("longer_copy").alias("longer_copies")
+    )
+    return by.withColumn("rate", F.col("cut_off") / F.col("documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_spans, p2_clean, p3_found, p3_incremental, p6_found, p6_counts, p7_found, p7_groups, p8_sequences, p8_fill, p9_uses, p9_shares, p9_mixture, p10_found, p10_rates)}
 ORACLE: dict[str, str] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import formatdup, leak, mixing, neardup, packing, spans, tokens, truncation
+from corpusloom.llm import formatdup, leak, mixing, neardup, packing, quality, spans, tokens, truncation
 from corpusloom.runtime import table, written
 
 
@@ -13,6 +13,14 @@ def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pieces").select("id", "text")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.findings(table(spark, sf_dir, "pieces")).distinct()
+
+
+def p1_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.measured(table(spark, sf_dir, "pieces"), "id", "text", ("word_count",)).drop("is_text")
+
+
 def p2_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak.leaked_spans(_pieces(spark, sf_dir), table(spark, sf_dir, "eval_items"))
 
@@ -106,5 +114,5 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.withColumn("rate", F.col("cut_off") / F.col("documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_spans, p2_clean, p3_found, p3_incremental, p6_found, p6_counts, p7_found, p7_groups, p8_sequences, p8_fill, p9_uses, p9_shares, p9_mixture, p10_found, p10_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_spans, p2_clean, p3_found, p3_incremental, p6_found, p6_counts, p7_found, p7_groups, p8_sequences, p8_fill, p9_uses, p9_shares, p9_mixture, p10_found, p10_rates)}
 ORACLE: dict[str, str] = {}

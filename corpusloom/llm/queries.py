@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import formatdup, leak, mixing, neardup, packing, quality, spans, tokens, truncation
+from corpusloom.llm import formatdup, leak, mixing, neardup, packing, pii, quality, spans, tokens, truncation
 from corpusloom.runtime import table, written
 
 
@@ -51,6 +51,25 @@ def p3_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_chars(t, index, index.append(t.where("part = 2")))
 
 
+def _people(spark: SparkSession, sf_dir: str):
+    """(table, keys, texts, model) of the tables with free text."""
+    pieces, comments = table(spark, sf_dir, "pieces"), table(spark, sf_dir, "li_comments")
+    model = pii.fit(table(spark, sf_dir, "given_names"), pieces, "text")
+    yield "pieces", pieces.select(F.col("id").alias("rec_key"), "text"), model
+    yield "li_comments", comments.select(F.col("comment_id").cast("string").alias("rec_key"), F.col("Message").alias("text")), model
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [pii.found(df, "rec_key", "text", m).select(F.lit(n).alias("tbl"), "rec_key", "kind") for n, df, m in _people(spark, sf_dir)]
+    return parts[0].unionByName(parts[1]).where(F.col("rec_key").isNotNull()).distinct()
+
+
+def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with typed placeholders in place of its personal items."""
+    parts = [pii.redacted(df, "rec_key", "text", m).withColumn("tbl", F.lit(n)) for n, df, m in _people(spark, sf_dir)]
+    return parts[0].unionByName(parts[1])
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
     for name, key, fields, kind in (("pieces", "id", ["source", "text"], "record"), ("index_lines", "line_id", ["line"], "line")):
@@ -114,5 +133,5 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.withColumn("rate", F.col("cut_off") / F.col("documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_spans, p2_clean, p3_found, p3_incremental, p6_found, p6_counts, p7_found, p7_groups, p8_sequences, p8_fill, p9_uses, p9_shares, p9_mixture, p10_found, p10_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_spans, p2_clean, p3_found, p3_incremental, p4_found, p4_redacted, p6_found, p6_counts, p7_found, p7_groups, p8_sequences, p8_fill, p9_uses, p9_shares, p9_mixture, p10_found, p10_rates)}
 ORACLE: dict[str, str] = {}

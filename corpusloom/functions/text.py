@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 WS = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 NOT_WS = r"[^\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+#: The same characters one by one, for trimming without a regular expression.
+WS_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 WORD = r"[A-Za-z0-9']+"
 WORD_ONE_APOSTROPHE = r"[A-Za-z0-9]+(?:['’][A-Za-z0-9]+)?"
@@ -44,8 +46,13 @@ def body(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with value computed once: inside a lambda, an expression from outside is computed again for every element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def trim_all(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def count(c: Column, pattern: str) -> Column:
@@ -101,21 +108,25 @@ def paragraphs(c: Column) -> Column:
 
 
 def short_line_ratio(c: Column) -> Column:
-    ls = lines(c)
-    return F.when(F.size(ls) == 0, 0.0).otherwise(F.size(F.filter(ls, lambda s: count(s, WORD) <= SHORT_LINE)) / F.size(ls))
+    share = lambda ls: F.size(F.filter(ls, lambda s: count(s, WORD) <= SHORT_LINE)) / F.greatest(F.size(ls), F.lit(1))
+    return let(lines(c), share)
 
 
 def median_of(a: Column) -> Column:
     """Exact median of an array of numbers; 0 if empty."""
-    s, n = F.sort_array(a), F.size(a)
-    mid = lambda i: F.try_element_at(s, i.cast("int")).cast("double")
-    return F.when(n == 0, 0.0).otherwise((mid(F.floor((n + 1) / F.lit(2))) + mid(F.floor(n / F.lit(2)) + 1)) / 2)
+
+    def middle(s: Column) -> Column:
+        n = F.size(s)
+        at = lambda i: F.try_element_at(s, F.greatest(i, F.lit(1)).cast("int")).cast("double")
+        return F.when(n == 0, 0.0).otherwise((at(F.floor((n + 1) / F.lit(2))) + at(F.floor(n / F.lit(2)) + 1)) / 2)
+
+    return let(F.sort_array(a), middle)
 
 
 def nearest_rank(a: Column, fraction: float) -> Column:
     """Value at the half-even rounded place fraction * (n - 1); 0 if empty."""
-    s, n = F.sort_array(a), F.size(a)
-    return F.when(n == 0, 0.0).otherwise(F.try_element_at(s, (F.bround(F.lit(fraction) * (n - 1)) + 1).cast("int")).cast("double"))
+    place = lambda n: F.greatest(F.bround(F.lit(fraction) * (n - 1)) + 1, F.lit(1)).cast("int")
+    return let(F.sort_array(a), lambda s: F.when(F.size(s) == 0, 0.0).otherwise(F.try_element_at(s, place(F.size(s))).cast("double")))
 
 
 def slop_score(c: Column) -> Column:
@@ -176,20 +187,28 @@ def grams(tokens: Column, n: int) -> Column:
     """Runs of n tokens joined by spaces; none if there are fewer."""
     if n < 1:
         raise ValueError("n must be at least 1")
-    at = F.sequence(F.lit(1), F.size(tokens) - n + 1)
-    return F.when(F.size(tokens) >= n, F.transform(at, lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    def runs(t: Column) -> Column:
+        at = F.sequence(F.lit(1), F.greatest(F.size(t) - n + 1, F.lit(1)))
+        out = F.transform(at, lambda i: F.array_join(F.slice(t, i, F.lit(n)), " "))
+        return F.when(F.size(t) >= n, out).otherwise(F.array().cast("array<string>"))
+
+    return let(tokens, runs)
 
 
 def covered_ratio(tokens: Column, reference: Column, n: int) -> Column:
     """Share of tokens inside a run of n that the reference's grams hold, rounded to 4 digits."""
-    size = F.size(tokens)
-    hit = F.transform(grams(tokens, n), lambda g: F.array_contains(reference, g))
-    inside = F.transform(
-        F.sequence(F.lit(1), F.greatest(size, F.lit(1))),
-        lambda p: F.exists(F.slice(hit, F.greatest(p - n + 1, F.lit(1)), F.least(p, F.lit(n))), lambda h: h).cast("int"),
-    )
-    total = F.aggregate(inside, F.lit(0), lambda a, x: a + x)
-    return F.when((size < n) | (F.size(reference) == 0), 0.0).otherwise(F.round(total / size, 4))
+
+    def share(x: Column) -> Column:
+        size, ref = F.size(x["t"]), x["r"]
+        hit = F.transform(grams(x["t"], n), lambda g: F.array_contains(ref, g))
+        # starts since which a token is covered: n after a hit, one less with each token
+        step = lambda a, h: F.struct(F.when(h, F.lit(n)).otherwise(F.greatest(a["left"] - 1, F.lit(0))).alias("left"), (a["sum"] + F.when(h | (a["left"] > 1), 1).otherwise(0)).alias("sum"))
+        end = F.aggregate(hit, F.struct(F.lit(0).alias("left"), F.lit(0).alias("sum")), step)
+        total = let(end, lambda e: e["sum"] + F.greatest(e["left"] - 1, F.lit(0)))
+        return F.when((size < n) | (F.size(ref) == 0), 0.0).otherwise(F.round(total / F.greatest(size, F.lit(1)), 4))
+
+    return let(F.struct(tokens.alias("t"), reference.alias("r")), share)
 
 
 def dot(a: Column, b: Column) -> Column:

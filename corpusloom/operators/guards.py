@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.runtime import checked_broadcast
 
 PARROT, COVERAGE, COVERAGE_LIMIT, COVERAGE_TOKENS = 8, 5, 0.3, 40
 ECHO_LIMIT, ECHO_TOKENS = 0.6, 12
@@ -35,14 +34,19 @@ def scaffold_markers(draft: Column) -> Column:
 
 def gram_rows(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
     """(key, gram) of each text, distinct."""
-    t = df.select(key, T.guard_words(F.col(text)).alias("t")).where(F.size("t") >= n)
-    return t.select(key, F.explode(F.array_distinct(T.grams(F.col("t"), n))).alias("gram"))
+    g = df.select(key, F.array_distinct(T.grams(T.guard_words(F.col(text)), n)).alias("g"))
+    # the outer form keeps the optimizer from adding a filter that computes the grams again
+    return g.select(key, F.explode_outer("g").alias("gram")).where("gram is not null")
+
+
+def known_grams(df: DataFrame, text: str, n: int) -> DataFrame:
+    g = df.select(T.grams(T.guard_words(F.col(text)), n).alias("g"))
+    return g.select(F.explode_outer("g").alias("gram")).where("gram is not null").distinct()
 
 
 def parroted(drafts: DataFrame, exemplars: DataFrame, key: str, text: str, n: int = PARROT, by: str = "text") -> DataFrame:
     """(key, gram) of runs of n words that a draft shares with any exemplar: a semi-join on grams, so neither side is collected."""
-    known = exemplars.select(F.explode(T.grams(T.guard_words(F.col(by)), n)).alias("gram")).distinct()
-    return gram_rows(drafts, key, text, n).join(checked_broadcast(known), "gram", "left_semi")
+    return gram_rows(drafts, key, text, n).join(known_grams(exemplars, by, n), "gram", "left_semi")
 
 
 def copied_ratio(drafts: DataFrame, exemplars: DataFrame, key: str, text: str, n: int = COVERAGE, by: str = "text") -> DataFrame:
@@ -50,10 +54,9 @@ def copied_ratio(drafts: DataFrame, exemplars: DataFrame, key: str, text: str, n
 
     Runs are matched by a join on their hash and text; covered places are counted as a union of intervals.
     """
-    known = exemplars.select(F.explode(T.grams(T.guard_words(F.col(by)), n)).alias("gram")).distinct()
     t = drafts.select(key, T.guard_words(F.col(text)).alias("t"))
-    places = t.where(F.size("t") >= n).select(key, F.posexplode(T.grams(F.col("t"), n)).alias("p", "gram"))
-    hits = places.join(checked_broadcast(known), "gram", "left_semi").groupBy(key).agg(F.sort_array(F.collect_set("p")).alias("ps"))
+    places = t.select(key, T.grams(F.col("t"), n).alias("g")).select(key, F.posexplode_outer("g").alias("p", "gram")).where("gram is not null")
+    hits = places.join(known_grams(exemplars, by, n), "gram", "left_semi").groupBy(key).agg(F.sort_array(F.collect_set("p")).alias("ps"))
     # sorted starts: each adds what the one before doesn't cover
     pairs = F.zip_with("ps", F.concat(F.array(F.lit(None).cast("int")), F.slice("ps", F.lit(1), F.greatest(F.size("ps") - 1, F.lit(0)))), lambda x, y: F.least(F.lit(n), F.coalesce(x - y, F.lit(n))))
     covered = F.aggregate(pairs, F.lit(0), lambda a, x: a + x)
@@ -62,14 +65,18 @@ def copied_ratio(drafts: DataFrame, exemplars: DataFrame, key: str, text: str, n
 
 def parrot_reject(draft: Column, exemplar: Column) -> Column:
     """For a draft beside its own exemplar: a scaffold marker, a shared run of eight, or 30 % coverage of a draft of 40 words."""
-    d, e = T.guard_words(draft), T.guard_words(exemplar)
-    eight = F.arrays_overlap(T.grams(d, PARROT), T.grams(e, PARROT))
-    return (F.size(scaffold_markers(draft)) > 0) | F.coalesce(eight, F.lit(False)) | ((F.size(d) >= COVERAGE_TOKENS) & (T.covered_ratio(d, T.grams(e, COVERAGE), COVERAGE) >= COVERAGE_LIMIT))
+
+    def copies(x: Column) -> Column:
+        eight = F.coalesce(F.arrays_overlap(T.grams(x["d"], PARROT), T.grams(x["e"], PARROT)), F.lit(False))
+        return eight | ((F.size(x["d"]) >= COVERAGE_TOKENS) & (T.covered_ratio(x["d"], T.grams(x["e"], COVERAGE), COVERAGE) >= COVERAGE_LIMIT))
+
+    both = F.struct(T.guard_words(draft).alias("d"), T.guard_words(exemplar).alias("e"))
+    return (F.size(scaffold_markers(draft)) > 0) | T.let(both, copies)
 
 
 def brief_echo(draft: Column, brief: Column) -> Column:
-    d = T.guard_words(draft)
-    return (F.size(d) >= ECHO_TOKENS) & (T.covered_ratio(d, T.grams(T.guard_words(brief), COVERAGE), COVERAGE) >= ECHO_LIMIT)
+    reference = T.grams(T.guard_words(brief), COVERAGE)
+    return T.let(T.guard_words(draft), lambda d: (F.size(d) >= ECHO_TOKENS) & (T.covered_ratio(d, reference, COVERAGE) >= ECHO_LIMIT))
 
 
 def _spans(c: Column) -> Column:

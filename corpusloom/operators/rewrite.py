@@ -352,7 +352,7 @@ def plain_normalized(c: Column) -> Column:
     """normalize_text without its branch for markup, natively."""
     t = F.replace(F.regexp_replace(T.body(c), "\r\n|\r", "\n"), F.lit('\\"'), F.lit('"'))
     strip = lambda s: T.trim_all(F.regexp_replace(F.regexp_replace(T.trim_all(s), '^["“”]', ""), '["“”]$', ""))
-    rows = F.transform(F.split(t, "\n"), lambda s: F.when(strip(s).rlike('^["“”]*$'), "").otherwise(strip(s)))
+    rows = F.transform(F.transform(F.split(t, "\n"), strip), lambda s: F.when(s.rlike('^["“”]+$'), "").otherwise(s))
     return T.trim_all(F.regexp_replace(F.array_join(rows, "\n"), "\n{3,}", "\n\n"))
 
 

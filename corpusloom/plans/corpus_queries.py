@@ -31,7 +31,7 @@ def query(sql: str | None = None):
 
 
 def pieces(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pieces")
+    return table(spark, d, "pieces", spread=True)
 
 
 def done(spark: SparkSession, d: str) -> DataFrame:

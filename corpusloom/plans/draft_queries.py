@@ -79,17 +79,17 @@ def brief_echo(spark, d):
 
 @query()
 def scaffold_markers(spark, d):
-    return table(spark, d, "pieces").select("id", guards.scaffold_markers(F.col("text")).alias("markers")).where(F.size("markers") > 0)
+    return table(spark, d, "pieces", spread=True).select("id", guards.scaffold_markers(F.col("text")).alias("markers")).where(F.size("markers") > 0)
 
 
 @query()
 def entity_keys(spark, d):
-    return table(spark, d, "pieces").select("id", F.array_sort(guards.granted_names(F.col("text"))).alias("granted"), F.array_sort(guards.claimed_names(F.col("text"))).alias("claimed"))
+    return table(spark, d, "pieces", spread=True).select("id", F.array_sort(guards.granted_names(F.col("text"))).alias("granted"), F.array_sort(guards.claimed_names(F.col("text"))).alias("claimed"))
 
 
 @query()
 def evidence_numbers(spark, d):
-    return table(spark, d, "pieces").select("id", F.array_sort(guards.evidence_figures(F.col("text"))).alias("figures"))
+    return table(spark, d, "pieces", spread=True).select("id", F.array_sort(guards.evidence_figures(F.col("text"))).alias("figures"))
 
 
 @query()
@@ -99,7 +99,7 @@ def invention_check(spark, d):
 
 @query()
 def entity_mask(spark, d):
-    return table(spark, d, "pieces").select("id", F.md5(rewrite.by_text(rewrite.masked, "string")(F.col("text"))).alias("masked"))
+    return table(spark, d, "pieces", spread=True).select("id", F.md5(rewrite.by_text(rewrite.masked, "string")(F.col("text"))).alias("masked"))
 
 
 _W = lambda c: f"list_distinct({S.every(f'lower(coalesce({c},{chr(39)}{chr(39)}))', '[a-z0-9' + chr(39) + ']+')})"
@@ -188,7 +188,7 @@ def embedding_topk_per_query(spark, d):
 
 @query()
 def hash_embed_topk(spark, d):
-    rows = table(spark, d, "pieces").where("id is not null").select("id", retrieve.embedding(F.col("text")).alias("vector"))
+    rows = table(spark, d, "pieces", spread=True).where("id is not null").select("id", retrieve.embedding(F.col("text")).alias("vector"))
     q = table(spark, d, "eval_items").where("item_id % 100 = 0").select(F.col("item_id").alias("query"), retrieve.embedding(F.col("text")).alias("vector"))
     return retrieve.top_k_per_query(rows, q, 5).select("query", "id", "rank", F.round("score", 6).alias("score"))
 
@@ -219,7 +219,7 @@ def ship_verdict(spark, d):
     return evaluate.verdict(evaluate.tally(arms(spark, d)))
 
 
-_FACT = "(select n, w, list_sum(list_transform(generate_series(w, n), lambda k: (factorial(n)/(factorial(k)*factorial(n-k)))::double)) / pow(2,n) as p from g where n > 0)"
+_FACT = "(select n, w, list_sum(list_transform(generate_series(w, n), lambda k: factorial(n)::double/(factorial(k::int)::double*factorial((n-k)::int)::double))) / pow(2,n) as p from g where n > 0)"
 
 
 @query(
@@ -241,51 +241,51 @@ def carve_size(spark, d):
 
 @query()
 def carve_ids(spark, d):
-    posts = table(spark, d, "pieces").where("source = 'linkedin_post' and id is not null")
+    posts = table(spark, d, "pieces", spread=True).where("source = 'linkedin_post' and id is not null")
     return evaluate.carve(posts, 24)
 
 
 @query()
 def trim_to_word_target(spark, d):
     trim = rewrite.by_text(lambda t: rewrite.trim_words(rewrite.drop_repeats(t), 120), "string")
-    return table(spark, d, "pieces").select("id", F.md5(trim(F.col("text"))).alias("trimmed"))
+    return table(spark, d, "pieces", spread=True).select("id", F.md5(trim(F.col("text"))).alias("trimmed"))
 
 
 @query()
 def strip_tells_full(spark, d):
-    return table(spark, d, "pieces").select("id", F.md5(rewrite.strip_tells(F.col("text"))).alias("stripped"))
+    return table(spark, d, "pieces", spread=True).select("id", F.md5(rewrite.strip_tells(F.col("text"))).alias("stripped"))
 
 
 @query()
 def devoice_notes(spark, d):
-    return table(spark, d, "pieces").select("id", rewrite.by_text(rewrite.devoiced, "array<string>")(T.body(F.col("text"))).alias("notes")).select("id", F.size("notes").alias("clauses"), F.md5(F.array_join("notes", "\n")).alias("notes"))
+    return table(spark, d, "pieces", spread=True).select("id", rewrite.by_text(rewrite.devoiced, "array<string>")(T.body(F.col("text"))).alias("notes")).select("id", F.size("notes").alias("clauses"), F.md5(F.array_join("notes", "\n")).alias("notes"))
 
 
 @query()
 def devoice_report(spark, d):
     """Per piece: share of its notes that is copied, and what the notes claim that the piece doesn't grant."""
     notes = rewrite.by_text(lambda t: "\n".join(rewrite.devoiced(t or "")), "string")
-    rows = table(spark, d, "pieces").select("id", "text", notes(F.col("text")).alias("notes"))
+    rows = table(spark, d, "pieces", spread=True).select("id", "text", notes(F.col("text")).alias("notes"))
     copied = T.covered_ratio(T.guard_words(F.col("notes")), T.grams(T.guard_words(F.col("text")), 5), 5)
     return rows.select("id", copied.alias("copied"), guards.invented(F.col("text"), F.col("notes"))["passed"].alias("granted")).withColumn("pass", (F.col("copied") <= 0.35) & F.col("granted"))
 
 
 @query()
 def post_briefs(spark, d):
-    rows = table(spark, d, "pieces").where("source = 'linkedin_post'")
+    rows = table(spark, d, "pieces", spread=True).where("source = 'linkedin_post'")
     return rows.select("id", rewrite.post_brief(F.col("text")).alias("b")).select("id", "b.ok", "b.reason", F.size("b.points").alias("points"), "b.overlap")
 
 
 @query()
 def article_briefs(spark, d):
-    rows = table(spark, d, "pieces").where("source = 'linkedin_article'")
+    rows = table(spark, d, "pieces", spread=True).where("source = 'linkedin_article'")
     return rows.select("id", rewrite.article_brief(F.col("text")).alias("b")).select("id", "b.ok", "b.reason", F.size("b.points").alias("points"), "b.overlap")
 
 
 @query()
 def paragraph_windows(spark, d):
     w = rewrite.by_text(lambda t: rewrite.windows(t or ""), "array<string>")
-    return table(spark, d, "pieces").select("id", F.posexplode(w(F.col("text"))).alias("pos", "win")).select("id", "pos", F.length("win").alias("chars"))
+    return table(spark, d, "pieces", spread=True).select("id", F.posexplode(w(F.col("text"))).alias("pos", "win")).select("id", "pos", F.length("win").alias("chars"))
 
 
 @query()
@@ -296,7 +296,7 @@ def source_sections(spark, d):
 
 @query()
 def sft_examples(spark, d):
-    rows = table(spark, d, "pieces").where("text is not null and source is not null")
+    rows = table(spark, d, "pieces", spread=True).where("text is not null and source is not null")
     make = F.pandas_udf(
         lambda t, s: t.combine(s, lambda a, b: [{"kind": k, "draft": x, "target": y} for k, x, y in rewrite.training_examples(a, b)]), "array<struct<kind:string,draft:string,target:string>>"
     )

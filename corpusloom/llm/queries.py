@@ -10,11 +10,11 @@ from corpusloom.runtime import table, written
 
 
 def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pieces").select("id", "text")
+    return table(spark, sf_dir, "pieces", spread=True).select("id", "text")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.findings(table(spark, sf_dir, "pieces")).distinct()
+    return quality.findings(table(spark, sf_dir, "pieces", spread=True)).distinct()
 
 
 def p1_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ def p3_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _people(spark: SparkSession, sf_dir: str):
     """(table, keys, texts, model) of the tables with free text."""
-    pieces, comments = table(spark, sf_dir, "pieces"), table(spark, sf_dir, "li_comments")
+    pieces, comments = (table(spark, sf_dir, t, spread=True) for t in ("pieces", "li_comments"))
     model = pii.fit(table(spark, sf_dir, "given_names"), pieces, "text")
     yield "pieces", pieces.select(F.col("id").alias("rec_key"), "text"), model
     yield "li_comments", comments.select(F.col("comment_id").cast("string").alias("rec_key"), F.col("Message").alias("text")), model
@@ -97,7 +97,7 @@ def p7_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sequence of each document, or of each part of one above the capacity."""
-    sizes = tokens.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text")
+    sizes = tokens.token_counts(table(spark, sf_dir, "documents", spread=True), "doc_id", "text")
     return packing.packed(sizes, "doc_id")
 
 
@@ -106,7 +106,7 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = written(tokens.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text", ("source",)), "sizes")
+    sizes = written(tokens.token_counts(table(spark, sf_dir, "documents", spread=True), "doc_id", "text", ("source",)), "sizes")
     return mixing.uses(sizes, table(spark, sf_dir, "mix_targets"))
 
 
@@ -119,12 +119,12 @@ def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return truncation.truncated(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id")
+    return truncation.truncated(table(spark, sf_dir, "documents", spread=True), "doc_id", "text").select("doc_id")
 
 
 def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per source: documents, those cut off, their share, and how many of these have a longer copy."""
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents", spread=True)
     cut = truncation.truncated(docs, "doc_id", "text")
     n = F.count(F.lit(1))
     by = docs.select("doc_id", "source").join(cut, "doc_id", "left").groupBy("source").agg(

@@ -246,8 +246,8 @@ def shared_chars(corpus: DataFrame, index: FingerprintIndex, name: str) -> DataF
     spots = index.shared_with(name).groupBy("cls").agg(F.collect_set(F.struct("pos", "number")).alias("spots"))
     spots = written(spots, "spots")
     one = members.join(checked_broadcast(spots.select("cls")), "cls", "left_semi").groupBy("cls").agg(F.min("id").alias("id"))
-    spots = one.join(spots, "cls")
-    texts = corpus.join(checked_broadcast(spots), "id").dropDuplicates(["cls"]).select("cls", "text", "spots")
+    # only narrow rows are broadcast; the lists of spots meet their texts in a shuffle of those texts alone
+    texts = corpus.join(checked_broadcast(one), "id").dropDuplicates(["cls"]).join(spots, "cls").select("cls", "text", "spots")
     windows = map_batches(texts, _window_rows(length), "win bigint, cls bigint, at int")
     met = windows.repartition("win").sortWithinPartitions("win").mapInArrow(_meeting, "cls bigint, at int")
     parts = map_batches(met.groupBy("cls").agg(F.collect_list("at").alias("s")), _covered(length), "cls bigint, shared bigint")

@@ -76,7 +76,6 @@ def report(df: DataFrame) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("dropped"), F.count_if(F.col("a") != F.col("b")).alias("cross_source"))
 
 
-@F.pandas_udf("double")
 def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     """Similarity of character sequences by the standard library's matcher with its defaults, which depends on positions."""
 
@@ -109,4 +108,4 @@ def near_links(df: DataFrame, ratio: float = NEAR_RATIO) -> DataFrame:
     first = F.col("a_id") < F.col("id")
     pick = lambda x: (F.when(first, F.col("a_" + x)).otherwise(F.col(x)), F.when(first, F.col(x)).otherwise(F.col("a_" + x)))
     (li, ri), (lk, rk) = pick("id"), pick("key")
-    return j.select(li.alias("left"), ri.alias("right"), sequence_ratio(lk, rk).alias("ratio")).where(F.col("ratio") >= ratio)
+    return j.select(li.alias("left"), ri.alias("right"), F.pandas_udf(sequence_ratio, "double")(lk, rk).alias("ratio")).where(F.col("ratio") >= ratio)

@@ -72,7 +72,6 @@ def article_carve_size(briefable: Column, total: Column) -> Column:
     return F.greatest(F.lit(0), F.least(want, briefable, total - 5)).cast("int")
 
 
-@F.pandas_udf("string")
 def order_key(ids: pd.Series) -> pd.Series:
     return ids.map(lambda x: hashlib.blake2b(str(x).encode(), digest_size=8).hexdigest())
 
@@ -81,7 +80,7 @@ def carve(pool: DataFrame, n: int, pinned: DataFrame | None = None) -> DataFrame
     """n ids: pinned ones first, then by the hash of the id, whatever the order of the rows."""
     rows = pool.select("id").distinct()
     rows = rows.withColumn("pin", F.lit(1)) if pinned is None else rows.join(pinned.select("id").distinct().withColumn("pin", F.lit(0)), "id", "left").fillna(1, ["pin"])
-    return rows.withColumn("k", order_key(F.col("id"))).orderBy("pin", "k").limit(n).select("id")
+    return rows.withColumn("k", F.pandas_udf(order_key, "string")(F.col("id"))).orderBy("pin", "k").limit(n).select("id")
 
 
 Generate = Callable[[str], str]

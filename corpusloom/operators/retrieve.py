@@ -14,7 +14,6 @@ from corpusloom.functions import text as T
 DIMS = 256
 
 
-@F.pandas_udf("array<double>")
 def embed(tokens: pd.Series) -> pd.Series:
     """Counts of tokens in 256 buckets by their hash, scaled to length one; zeros if there are no tokens."""
     place: dict[str, int] = {}
@@ -31,7 +30,7 @@ def embed(tokens: pd.Series) -> pd.Series:
 
 
 def embedding(c: Column) -> Column:
-    return embed(T.plain_words(c))
+    return F.pandas_udf(embed, "array<double>")(T.plain_words(c))
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -49,7 +48,7 @@ def top_k(rows: DataFrame, query: list[float], k: int, key: str = "id", vector:
 
     The query is a literal, so each task scores its own rows and keeps its k best.
     """
-    rows = rows if where is None else rows.where(where)
+    rows = (rows if where is None else rows.where(where)).where(F.col(vector).isNotNull())
     q = F.array(*[F.lit(float(x)) for x in query])
     return rows.select(key, score(F.col(vector), q).alias("score")).orderBy(F.col("score").desc(), key).limit(max(k, 0))
 

@@ -70,6 +70,11 @@ def _settled(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
+def _settled_all(df: DataFrame, name: str, **values: Column) -> DataFrame:
+    """The same for several columns name_key at once."""
+    return df.select("*", F.inline(F.array(F.struct(*[v.alias(f"{name}_{k}") for k, v in values.items()]))))
+
+
 def components(df: DataFrame, stamp: str, name: str) -> DataFrame:
     """Add an array of the stamp's components in the order of COMPONENTS, empty where absent; null if nothing matches."""
     # white space beyond ASCII around a stamp counts as blank too
@@ -117,12 +122,12 @@ def normalize_stamps(df: DataFrame, stamp: str, order: str, zone: str, out: str
     """
     tmp = lambda n: f"__stamp_{n}"
     c = lambda n: F.get(F.col(tmp("c")), F.lit([*COMPONENTS].index(n) + 1))
-    v = lambda n: F.col(tmp("v"))[n]
+    v = lambda n: F.col(tmp("v_" + n))
     df = components(df, stamp, tmp("c"))
-    df = _settled(df, tmp("i"), F.struct(_int(c("a")).alias("a"), _int(c("b")).alias("b"), _int(c("y")).alias("y")))
-    a, b, y = (F.col(tmp("i"))[k] for k in "aby")
-    df = _settled(df, tmp("j"), F.struct(_real_day(y, a, b).alias("mdy"), _real_day(y, b, a).alias("dmy")))
-    mdy, dmy = F.col(tmp("j"))["mdy"], F.col(tmp("j"))["dmy"]
+    df = _settled_all(df, tmp("i"), a=_int(c("a")), b=_int(c("b")), y=_int(c("y")))
+    a, b, y = (F.col(tmp("i_" + k)) for k in "aby")
+    df = _settled_all(df, tmp("j"), mdy=_real_day(y, a, b), dmy=_real_day(y, b, a))
+    mdy, dmy = F.col(tmp("j_mdy")), F.col(tmp("j_dmy"))
     slash = c("a") != ""
     month_first = (
         F.when(F.lower(F.col(order)) == "mdy", True)
@@ -140,24 +145,21 @@ def normalize_stamps(df: DataFrame, stamp: str, order: str, zone: str, out: str
     digits = F.regexp_replace(c("o"), "[^0-9]", "")
     off = sign * (_int(F.substring(digits, 1, 2)) * 60 + F.coalesce(_int(F.substring(digits, 3, 2)), F.lit(0)))
     abbr = F.create_map(*[F.lit(x) for kv in ABBREVIATIONS.items() for x in kv])
-    df = _settled(
+    df = _settled_all(
         df,
         tmp("v"),
-        F.struct(
-            y.alias("y"),
-            F.when(slash, F.when(month_first, a).when(~month_first, b)).when(c("t") != "", named).otherwise(_int(c("m"))).alias("m"),
-            F.when(slash, F.when(month_first, b).when(~month_first, a)).otherwise(_int(c("d"))).alias("d"),
-            ((c("h") != "") | (c("h2") != "")).alias("timed"),
-            F.when(~twice, h24).alias("h"),
-            _int(F.concat(c("n"), c("n2"))).alias("n"),
-            F.coalesce(_int(F.concat(c("s"), c("s2"))), F.lit(0)).alias("s"),
-            F.when(c("o") != "", F.when((F.abs(off) <= 1080) & (F.abs(off) % 60 < 60), off))
-            .when(c("z") != "", F.try_element_at(abbr, F.upper(c("z"))))
-            .alias("off"),
-            ((c("o") != "") | (c("z") != "")).alias("fixed"),
-            F.when(c("r") != "", c("r")).otherwise(F.col(zone)).alias("zone"),
-            F.when(c("e") != "", c("e").cast("bigint")).when(c("x") != "", F.floor(c("x").cast("bigint") / F.lit(1000))).alias("epoch"),
-        ),
+        y=y,
+        m=F.when(slash, F.when(month_first, a).when(~month_first, b)).when(c("t") != "", named).otherwise(_int(c("m"))),
+        d=F.when(slash, F.when(month_first, b).when(~month_first, a)).otherwise(_int(c("d"))),
+        timed=((c("h") != "") | (c("h2") != "")),
+        h=F.when(~twice, h24),
+        n=_int(F.concat(c("n"), c("n2"))),
+        s=F.coalesce(_int(F.concat(c("s"), c("s2"))), F.lit(0)),
+        off=F.when(c("o") != "", F.when((F.abs(off) <= 1080) & (F.abs(off) % 60 < 60), off))
+            .when(c("z") != "", F.try_element_at(abbr, F.upper(c("z")))),
+        fixed=((c("o") != "") | (c("z") != "")),
+        zone=F.when(c("r") != "", c("r")).otherwise(F.col(zone)),
+        epoch=F.when(c("e") != "", c("e").cast("bigint")).when(c("x") != "", F.floor(c("x").cast("bigint") / F.lit(1000))),
     )
     real = _real_day(v("y"), v("m"), v("d"))
     days = days_from_civil(v("y"), v("m"), v("d"))
@@ -192,4 +194,5 @@ def normalize_stamps(df: DataFrame, stamp: str, order: str, zone: str, out: str
         ~v("timed") & F.col(tmp("r")) & v("epoch").isNull() & ~v("fixed"),
         F.concat(F.lpad(v("y").cast("string"), 4, "0"), F.lit("-"), two(v("m")), F.lit("-"), two(v("d"))),
     )
-    return df.withColumn(out, norm).drop(*map(tmp, "cijfvlzuktrw"))
+    df = df.withColumn(out, norm)
+    return df.drop(*[x for x in df.columns if x.startswith(tmp(""))])

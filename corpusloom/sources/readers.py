@@ -124,7 +124,7 @@ def read_documents(spark: SparkSession, path: str, recursive: bool = True, hint:
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     """(pos, input, output, raw) of a pair file; a line without a pair fails with its number."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\n")).alias("pos", "raw")).where(F.trim("raw") != "")
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("pos", "raw")).where(F.trim("raw") != "")
     i, o = pairs.pair_texts(F.col("raw"))
     bad = F.raise_error(F.concat(F.lit("no pair in line "), (F.col("pos") + 1).cast("string")))
     return lines.select(F.col("pos").cast("bigint"), F.when(i.isNull() | o.isNull(), bad).otherwise(i).alias("input"), o.alias("output"), "raw")
@@ -132,7 +132,7 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """Ids of a holdout file: a bare list, or a list under holdout_ids or ids."""
-    v = spark.read.option("wholetext", True).text(path)
+    v = spark.read.text(path, wholetext=True)
     ids = F.coalesce(*[F.from_json(x, "array<string>") for x in (F.get_json_object("value", "$.holdout_ids"), F.get_json_object("value", "$.ids"), F.col("value"))])
     return v.select(F.explode(ids).alias("id"))
 

@@ -26,7 +26,7 @@ STAMPS = [
         ("Thu, 03 Mar 2016 19:18:17 -0800", None, None, "2016-03-04T03:18:17Z"), ("May 8, 2020 12:05 AM EDT", None, None, "2020-05-08T04:05:00Z"),
         ("2014-02-15T01:40:02[Asia/Kolkata]", None, "Europe/Berlin", "2014-02-14T20:10:02Z"), ("2014-04-15T16:52:11 America/New_York", None, None, "2014-04-15T20:52:11Z"),
         ("2020", None, None, None), ("March 2021", None, None, None), ("25:61", None, None, None), ("", None, None, None), (None, None, None, None), ("2020-01-01 24:00", None, "UTC", None),
-    ],
+    ]
 
 
 def test_stamps(spark):

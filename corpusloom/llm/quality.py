@@ -14,6 +14,7 @@ measured whole; a wrong word count is found for any text that isn't null.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +56,11 @@ GARBLED = re.compile(r"�+|[ÃÂ][-¿‘-›€™]|â[€‚][^\s]?|ï»¿")
 WORD = re.compile(r"[^\W_]+")
 
 
+@lru_cache(1 << 16)
+def is_odd(word: str) -> bool:
+    return ODD.search(word) is not None
+
+
 def _rows(lines: list[str]) -> list[int]:
     """Cells of each line that looks like a row of columns, else 0."""
     out = []
@@ -63,6 +69,10 @@ def _rows(lines: list[str]) -> list[int]:
         if RULE.match(s) and ("|" in s or len(s) > 3):
             out.append(-1)  # a ruling line belongs to the rows around it
             continue
+        sure = s.endswith((".", "!", "?")) and "|" not in s and "\t" not in s and "," not in s and ";" not in s
+        if sure:
+            out.append(0)  # nothing below takes a line for a row that ends a sentence and holds no separator
+            continue
         w = [y for y in WORD.findall(NOT_GIVEN.sub(" ", s.lower())) if y.isalpha()]
         if len(w) >= 5 and sum(y in COMMON for y in w) >= 0.25 * len(w):
             out.append(0)  # a sentence with odd white space
@@ -88,6 +98,8 @@ def _rows(lines: list[str]) -> list[int]:
 
 def _enumerates(line: str) -> bool:
     """Whether a line is an enumeration: six or more different short items between commas or the like."""
+    if sum(map(line.count, ",;·•/|")) < 5:
+        return False
     parts = [x.split() for x in re.split(r"\s*[,;·•/|]\s+", line.strip(" .;,")) if x.strip()]
     sizes = [len(x) for x in parts]
     if len(parts) < 6 or max(sizes) > 7 or sum(sizes) > 4.5 * len(parts) or 2 * len({" ".join(x).lower() for x in parts}) < len(parts):
@@ -120,7 +132,7 @@ def statistics(text: str) -> list[float]:
             items.append(0)
         elif MARKER.match(x) or _enumerates(s):
             items.append(2)
-        elif n <= 6 and (KEYED.match(x) or (s[0].isupper() and not s.endswith((".", "!", "?", ",", ":")))) and 4 * sum(c.isalpha() or c == " " for c in s) >= 3 * len(s):
+        elif n <= 6 and (KEYED.match(x) or (s[0].isupper() and not s.endswith((".", "!", "?", ",", ":")))) and 4 * (sum(map(str.isalpha, s)) + s.count(" ")) >= 3 * len(s):
             items.append(1)
         else:
             items.append(0)
@@ -142,10 +154,10 @@ def statistics(text: str) -> list[float]:
             language += n
         ended += x.rstrip().endswith((".", "!", "?", "…", ":", '"', "”"))
     letters = [w for w in words if w.isalpha()]
-    odd = sum(bool(ODD.search(w)) for w in letters)
+    odd = sum(map(is_odd, letters))
     alnum = sum(map(len, words))
     return [
-        float(len(text.split())), dense / len(tokens), 1 - alnum / dense, sum(c.isdigit() for c in bare) / dense, ended / len(lines),
+        float(len(text.split())), dense / len(tokens), 1 - alnum / dense, sum(map(str.isdigit, bare)) / dense, ended / len(lines),
         common / len(words), len(set(words)) / len(words), sum(n for n, i in zip(weight, items) if i) / total,
         sum(n for n, r in zip(weight, solid) if r) / total, language / total, odd / max(1, len(letters)),
         sum(len(m) for m in GARBLED.findall(text)) / max(1, len(text)), len(words) / len(lines),

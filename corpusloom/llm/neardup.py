@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.components import components
 from corpusloom.llm.codepoints import BASE_1, BASE_2, U64, Codes, Words, mix, powers
 from corpusloom.llm.frames import map_batches, record, salted_join
 from corpusloom.runtime import checked_broadcast, written
@@ -252,25 +253,10 @@ def similar_ids(members: DataFrame, links: DataFrame) -> DataFrame:
     return within.unionByName(across)
 
 
-def groups(members: DataFrame, links: DataFrame, rounds: int = 40) -> DataFrame:
-    """(id, grp, links): the smallest class key reachable over links, by hooking and pointer jumping.
-
-    Two joins a round on tables of links; rounds are logarithmic in the length of the longest chain, and the loop ends
-    when no label changes. Nothing is gathered on the driver but one count a round.
-    """
+def groups(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, grp, links): the smallest class key reachable over links, however long the chain, and the links of the text's own class."""
     edges = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    edges = written(edges, "edges")
-    label = written(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("cls"), F.least("a", "m").alias("lab")), "labels")
-    for _ in range(rounds):
-        low = edges.join(label.select(F.col("cls").alias("b"), "lab"), "b").groupBy("a").agg(F.min("lab").alias("near"))
-        new = label.join(low.withColumnRenamed("a", "cls"), "cls").select("cls", "lab", F.least("lab", "near").alias("new"))
-        jump = label.select(F.col("cls").alias("new"), F.col("lab").alias("far"))
-        new = new.join(jump, "new", "left").select("cls", "lab", F.least("new", F.coalesce("far", "new")).alias("new"))
-        new = written(new, "labels")
-        label = new.select("cls", F.col("new").alias("lab"))
-        if not new.where("lab <> new").limit(1).count():
-            break
     n = edges.groupBy(F.col("a").alias("cls")).agg(F.count(F.lit(1)).alias("links"))
-    known = label.join(n, "cls")
+    known = components(links).select(F.col("node").alias("cls"), F.col("root").alias("lab")).join(n, "cls")
     out = salted_join(members, known, ["cls"], how="left", spread="id")
     return out.select("id", F.coalesce("lab", "cls").alias("grp"), F.coalesce("links", F.lit(0)).alias("links"))

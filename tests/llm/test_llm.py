@@ -68,6 +68,19 @@ def test_near_duplicates(spark, texts):
     assert neardup.similar(df.limit(0), 0.6, 3)[1].count() == 0
 
 
+def test_groups_of_long_chains(spark):
+    r = np.random.default_rng(8)
+    keys = np.unique(r.integers(-(2**62), 2**62, 1500))
+    r.shuffle(keys)
+    chains = [[int(x) for x in keys[:1000]], [int(x) for x in sorted(keys[1000:1200])]]
+    links = [(min(a, b), max(a, b), 0.9) for c in chains for a, b in zip(c, c[1:])]
+    order = r.permutation(len(links))
+    members = spark.createDataFrame([(f"m{k}", int(k)) for k in keys], "id string, cls bigint")
+    g = {x.id: x.grp for x in neardup.groups(members, spark.createDataFrame([links[i] for i in order], "a bigint, b bigint, similarity double")).collect()}
+    want = {k: min(c) for c in chains for k in c}
+    assert g == {f"m{k}": want.get(int(k), int(k)) for k in keys}
+
+
 def test_leaks(spark, texts):
     rows, df = texts
     items = [(1, " ".join(rows[2][1].split()[5:40]).upper()), (2, "too short"), (3, None), (4, rows[7][1])]

@@ -253,6 +253,20 @@ def similar_ids(members: DataFrame, links: DataFrame) -> DataFrame:
     return within.unionByName(across)
 
 
+def word_classes(df: DataFrame) -> DataFrame:
+    """(id, cls) of every row: the key of the text's word sequence; a text without words is a class of its own."""
+
+    def make():
+        def f(b: pa.RecordBatch):
+            w = Words(Codes(b.column(1).to_pylist()))
+            return record(id=b.column(0), cls=pa.array(class_keys(w).view(np.int64), mask=np.diff(w.first) == 0))
+
+        return f
+
+    own = map_batches(df.select(F.col("id").cast("string").alias("id"), "text").where(F.col("id").isNotNull()), make, "id string, cls bigint")
+    return own.select("id", F.coalesce("cls", F.xxhash64("id")).alias("cls"))
+
+
 def groups(members: DataFrame, links: DataFrame) -> DataFrame:
     """(id, grp, links): the smallest class key reachable over links, however long the chain, and the links of the text's own class."""
     edges = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()

@@ -91,8 +91,9 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates at five words and 0.8: one row per piece with its group and its number of links."""
-    members, links = neardup.similar(_pieces(spark, sf_dir))
-    return neardup.groups(members, links)
+    pieces = _pieces(spark, sf_dir)
+    links = neardup.similar(pieces)[1]
+    return neardup.groups(neardup.word_classes(pieces).distinct(), links)
 
 
 def p8_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:

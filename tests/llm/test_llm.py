@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import formatdup, leak, mixing, neardup, packing, pii, quality, spans, truncation
+from corpusloom.llm import formatdup, leak, mixing, neardup, packing, pii, quality, queries, spans, truncation
 
 W = re.compile(r"[^\W_]+")
 
@@ -81,6 +81,16 @@ def test_groups_of_long_chains(spark):
     assert g == {f"m{k}": want.get(int(k), int(k)) for k in keys}
 
 
+def test_groups_have_every_row(spark, tmp_path):
+    long = "one two three four five six seven"
+    rows = [("a", "One two, three four"), ("b", "one two three FOUR!"), ("c", "two"), ("d", None), ("e", ""), ("f", "…"), ("g", long), ("h", long.upper()), ("i", "other")]
+    spark.createDataFrame(rows, "id string, text string").write.parquet(str(tmp_path / "pieces.parquet"))
+    got = queries.p7_groups(spark, str(tmp_path)).collect()
+    g = {r.id: r.grp for r in got}
+    assert len(got) == len(rows) and set(g) == {i for i, _ in rows} and all(r.links == 0 for r in got)
+    assert g["a"] == g["b"] and g["g"] == g["h"] and len(set(g.values())) == 7
+
+
 def test_leaks(spark, texts):
     rows, df = texts
     items = [(1, " ".join(rows[2][1].split()[5:40]).upper()), (2, "too short"), (3, None), (4, rows[7][1])]

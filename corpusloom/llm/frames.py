@@ -6,10 +6,8 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-#: A hot key's rows spread over so many tasks; the other side is repeated as often, so it must be the smaller one.
-SALTS = 16
+from corpusloom.runtime import salted_join  # noqa: F401 - used by the subpackage
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
@@ -26,11 +24,3 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
 
 def record(**cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols.values()], names=list(cols))
-
-
-def salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", spread: str | None = None) -> DataFrame:
-    """Join on keys where one key may hold a third of big's rows: its rows are spread by spread, small is repeated."""
-    salt = F.pmod(F.xxhash64(F.col(spread) if spread else F.rand(7)), F.lit(SALTS)).cast("int")
-    left = big.withColumn("__salt", salt)
-    right = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return left.join(right, [*keys, "__salt"], how).drop("__salt")

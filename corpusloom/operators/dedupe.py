@@ -1,4 +1,7 @@
-"""Duplicate pieces: exact by a cleaned key across everything, near ones within equal source and date, one keeper a group."""
+"""Duplicate pieces: exact by a cleaned key across everything, near ones within equal source and date, one keeper a group.
+
+near_ratio=None groups by exact keys only; else groups are what exact keys and near links reach together.
+"""
 
 from __future__ import annotations
 
@@ -8,13 +11,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.components import components
 from corpusloom.functions import text as T
 from corpusloom.operators.rewrite import normalized
-from corpusloom.runtime import checked_broadcast, written
+from corpusloom.runtime import checked_broadcast, salted_join, written
 
 NEAR_RATIO = 0.99
 PRIORITY = ("linkedin_article", "linkedin_post", "linkedin_comment")
-SALTS = 16
 
 
 def with_key(df: DataFrame, text: str = "text") -> DataFrame:
@@ -34,46 +37,63 @@ def keeper_order(holdout: Column) -> Column:
     )
 
 
-def exact_groups(df: DataFrame, holdouts: DataFrame | None = None) -> DataFrame:
-    """(key_hash, keeper, members, holdouts) of each key that several pieces have.
+def _keyed(df: DataFrame, near_ratio: float | None) -> DataFrame:
+    """Pieces that can have duplicates, with key_hash and root: the smallest key hash that near links reach from their own."""
+    rows = with_key(df).where("key <> ''").withColumn("key_hash", F.sha2("key", 256))
+    if near_ratio is None:
+        return rows.withColumn("root", F.col("key_hash"))
+    links = _near_rows(rows, near_ratio).select(F.sha2("left_key", 256).alias("a"), F.sha2("right_key", 256).alias("b"))
+    roots = components(links).withColumnRenamed("node", "key_hash")
+    return salted_join(rows, roots, ["key_hash"], how="left", spread="id").withColumn("root", F.coalesce("root", "key_hash"))
+
+
+def _grouped(rows: DataFrame, holdouts: DataFrame | None) -> DataFrame:
+    """(root, keeper, members, holdouts, exact, cross_source) of each group of several pieces.
 
     The keeper is a minimum, found by partial aggregates: no group is gathered, whatever its share of all rows.
     """
-    rows = with_key(df).where("key <> ''")
     if holdouts is not None:
         rows = rows.join(checked_broadcast(holdouts.select("id").distinct().withColumn("__h", F.lit(True))), "id", "left")
     else:
         rows = rows.withColumn("__h", F.lit(False))
-    held = F.coalesce("__h", F.lit(False))
-    g = rows.groupBy(F.sha2("key", 256).alias("key_hash")).agg(
-        F.min(keeper_order(held)).alias("k"), F.count(F.lit(1)).alias("members"), F.count_if(held).alias("holdouts")
-    )
-    return g.where("members > 1").select("key_hash", F.col("k.id").alias("keeper"), "members", "holdouts")
+    held, source = F.coalesce("__h", F.lit(False)), F.coalesce("source", F.lit(""))
+    g = rows.groupBy("root").agg(
+        F.min(keeper_order(held)).alias("k"), F.count(F.lit(1)).alias("members"), F.count_if(held).alias("holdouts"),
+        (F.min("key_hash") == F.max("key_hash")).alias("exact"), (F.min(source) != F.max(source)).alias("cross_source"),
+    )
+    return g.where("members > 1").select("root", F.col("k.id").alias("keeper"), "members", "holdouts", "exact", "cross_source")
 
 
-def dropped(df: DataFrame, holdouts: DataFrame | None = None) -> DataFrame:
-    """(id, source, keeper) of the pieces that dedupe drops; fails if that would drop a holdout."""
-    groups = exact_groups(df, holdouts)
+def exact_groups(df: DataFrame, holdouts: DataFrame | None = None) -> DataFrame:
+    """(key_hash, keeper, members, holdouts) of each key that several pieces have."""
+    return _grouped(_keyed(df, None), holdouts).select(F.col("root").alias("key_hash"), "keeper", "members", "holdouts")
+
+
+def _dropped(rows: DataFrame, groups: DataFrame) -> DataFrame:
     bad = F.when(F.col("holdouts") > 1, F.raise_error(F.concat(F.lit("two holdouts share a text, beside "), F.col("keeper")))).otherwise(F.col("keeper"))
-    groups = groups.select("key_hash", bad.alias("keeper"))
-    rows = with_key(df).where("key <> ''").select("id", "source", F.sha2("key", 256).alias("key_hash"))
-    # a hot key's rows are spread, its one group row is repeated
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.join(groups, ["key_hash", "salt"]).where("id <> keeper").select("id", "source", "keeper")
+    # a hot group's rows are spread, its one group row is repeated
+    return salted_join(rows.select("id", "source", "root"), groups.select("root", bad.alias("keeper")), ["root"], spread="id").where("id <> keeper")
+
+
+def dropped(df: DataFrame, holdouts: DataFrame | None = None, near_ratio: float | None = None) -> DataFrame:
+    """(id, source, keeper) of the pieces that dedupe drops; fails if that would drop a holdout."""
+    rows = _keyed(df, near_ratio)
+    return _dropped(rows, _grouped(rows, holdouts)).select("id", "source", "keeper")
 
 
-def deduped(df: DataFrame, holdouts: DataFrame | None = None) -> DataFrame:
-    return df.join(dropped(df, holdouts).select("id"), "id", "left_anti")
+def deduped(df: DataFrame, holdouts: DataFrame | None = None, near_ratio: float | None = None) -> DataFrame:
+    return df.join(dropped(df, holdouts, near_ratio).select("id"), "id", "left_anti")
 
 
-def report(df: DataFrame) -> DataFrame:
-    """One row: groups, pieces dropped, groups across sources."""
-    rows = with_key(df).where("key <> ''").groupBy(F.sha2("key", 256).alias("k")).agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.coalesce("source", F.lit(""))).alias("a"), F.max(F.coalesce("source", F.lit(""))).alias("b")
-    )
-    rows = rows.where("n > 1")
-    return rows.agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("dropped"), F.count_if(F.col("a") != F.col("b")).alias("cross_source"))
+def report(df: DataFrame, near_ratio: float | None = None) -> DataFrame:
+    """One row: groups, exact and near ones, pieces dropped, also by source, groups across sources."""
+    rows = _keyed(df, near_ratio)
+    groups = written(_grouped(rows, None), "groups")
+    by = _dropped(rows, groups).groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.count(F.lit(1)).alias("n"))
+    by = by.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("source", "n")))).alias("dropped_by_source"))
+    n = F.count(F.lit(1)).alias("groups"), F.count_if("exact").alias("exact_groups"), F.count_if(~F.col("exact")).alias("near_groups")
+    sums = groups.agg(*n, F.coalesce(F.sum(F.col("members") - 1), F.lit(0)).alias("dropped"), F.count_if("cross_source").alias("cross_source"))
+    return sums.crossJoin(by)
 
 
 def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
@@ -87,25 +107,37 @@ def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
 
 
 def near_links(df: DataFrame, ratio: float = NEAR_RATIO) -> DataFrame:
-    """(left, right) of pieces of equal source and date whose keys are at least as similar as ratio, left being the lower id.
+    """(left, right, ratio) of pieces of equal source and date whose keys are at least as similar as ratio, left being the lower id.
+
+    Equal keys of a bucket stand for one another: the ratio depends on which text comes first, so two keys have a row for
+    each order in which their pieces' ids occur, not one for each pair of pieces.
+    """
+    return _near_rows(with_key(df).where("key <> ''"), ratio).select("left", "right", "ratio")
+
+
+def _near_rows(keyed: DataFrame, ratio: float) -> DataFrame:
+    """(left, right, left_key, right_key, ratio).
 
     Within a bucket only lengths that the ratio allows can meet: rows are cut into bands of length of the ratio's width,
-    so a row meets its own and the next band. Equal keys stand once. A profile of character counts, cut to 32 classes,
-    is compared natively before the matcher runs.
+    so a row meets its own and the next band. A profile of character counts, cut to 25 classes, is compared natively
+    before the matcher runs.
     """
-    rows = with_key(df).where("key <> ''").select("id", "key", F.coalesce("source", F.lit("")).alias("s"), F.coalesce("date", F.lit("")).alias("d"))
-    rows = rows.groupBy("s", "d", "key").agg(F.min("id").alias("id"))
+    rows = keyed.select("id", "key", F.coalesce("source", F.lit("")).alias("s"), F.coalesce("date", F.lit("")).alias("d"))
+    rows = rows.groupBy("s", "d", "key").agg(F.min("id").alias("id"), F.max("id").alias("last"))
     step = max(1e-6, 2 / ratio - 2)
     rows = rows.withColumn("n", F.length("key")).withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 + step))))
     bag = F.array(*[F.length("key") - F.length(F.translate("key", c, "")) for c in "etaoinshrdlcumwfgypbvk .,"])
     rows = written(rows.withColumn("bag", bag), "near-keys")
-    a = rows.select("s", "d", F.explode(F.array("band", F.col("band") + 1)).alias("band"), *[F.col(c).alias("a_" + c) for c in ("id", "key", "n", "bag")], F.col("band").alias("a_band"))
+    a = rows.select("s", "d", F.explode(F.array("band", F.col("band") + 1)).alias("band"), *[F.col(c).alias("a_" + c) for c in ("id", "last", "key", "n", "bag")], F.col("band").alias("a_band"))
     j = a.join(rows, ["s", "d", "band"]).where((F.col("a_band") < F.col("band")) | (F.col("a_id") < F.col("id")))
     low = F.least("a_n", "n")
     shared = F.aggregate(F.zip_with("a_bag", "bag", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
     total = F.col("a_n") + F.col("n")
     j = j.where((2.0 * low / total >= ratio) & ((total - shared) / total >= ratio))
-    first = F.col("a_id") < F.col("id")
-    pick = lambda x: (F.when(first, F.col("a_" + x)).otherwise(F.col(x)), F.when(first, F.col(x)).otherwise(F.col("a_" + x)))
-    (li, ri), (lk, rk) = pick("id"), pick("key")
-    return j.select(li.alias("left"), ri.alias("right"), F.pandas_udf(sequence_ratio, "double")(lk, rk).alias("ratio")).where(F.col("ratio") >= ratio)
+    side = lambda left, right, lk, rk: F.struct(F.col(left).alias("left"), F.col(right).alias("right"), F.col(lk).alias("left_key"), F.col(rk).alias("right_key"))
+    orders = F.array(side("a_id", "last", "a_key", "key"), side("id", "a_last", "key", "a_key"))
+    j = j.select(F.explode(F.filter(orders, lambda x: x["left"] < x["right"])).alias("x"), "a_id", "id")
+    # beside the lowest id of one key stands the lowest id of the other if that is higher, else its highest
+    other = F.when(F.col("x.left") == F.least("a_id", "id"), F.greatest("a_id", "id")).otherwise(F.col("x.right"))
+    j = j.select("x.left", other.alias("right"), "x.left_key", "x.right_key")
+    return j.withColumn("ratio", F.pandas_udf(sequence_ratio, "double")("left_key", "right_key")).where(F.col("ratio") >= ratio)

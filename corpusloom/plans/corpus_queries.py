@@ -288,12 +288,12 @@ def exact_dup_groups(spark, d):
 
 @query()
 def dedupe_keepers(spark, d):
-    return dedupe.deduped(pieces(spark, d)).select("id")
+    return dedupe.deduped(pieces(spark, d), near_ratio=dedupe.NEAR_RATIO).select("id")
 
 
 @query()
 def dedupe_report(spark, d):
-    return dedupe.report(pieces(spark, d))
+    return dedupe.report(pieces(spark, d), near_ratio=dedupe.NEAR_RATIO)
 
 
 @query()

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.operators import corpus, dedupe, evaluate, guards, pairs, retrieve, rewrite, style
 from corpusloom.operators.timestamps import normalize_stamps
+from corpusloom.plans import corpus_queries
 from corpusloom.sources import readers, writers
 from corpusloom.streaming import ingest
 
@@ -77,6 +78,32 @@ def test_dedupe(spark):
     assert dedupe.report(df.limit(0)).head()["groups"] == 0
 
 
+def test_near_dedupe(spark, tmp_path):
+    body = " ".join(f"word{i} went to town{i}" for i in range(30))
+    post = lambda i, text, source="linkedin_post", date="2020-01-01": (i, source, text, date, None, 3, "", {})
+    rows = [post("a", body), post("b", body + " #a"), post("c", body + " #a #b"), post("d", body.upper(), "doc", None), post("e", body + " #a #bc", "doc", None), post("f", "Other words"), post("g", "other  words"), post("h", "alone")]
+    spark.createDataFrame(rows, PIECE).write.parquet(str(tmp_path / "pieces.parquet"))
+    kept = sorted(r.id for r in corpus_queries.QUERIES["dedupe_keepers"](spark, str(tmp_path)).collect())
+    # posts a, b, c are near; d has the key of a and is near e
+    assert kept == ["c", "f", "h"]
+    r = corpus_queries.QUERIES["dedupe_report"](spark, str(tmp_path)).head()
+    assert (r.groups, r.exact_groups, r.near_groups, r.dropped, r.cross_source) == (2, 1, 1, 5, 1)
+    assert r.dropped_by_source == {"doc": 2, "linkedin_post": 3}
+    exact = dedupe.report(spark.createDataFrame(rows, PIECE)).head()
+    assert (exact.groups, exact.near_groups, exact.dropped) == (2, 0, 2)
+    with pytest.raises(Exception, match="two holdouts"):
+        dedupe.dropped(spark.createDataFrame(rows, PIECE), spark.createDataFrame([("b",), ("e",)], "id string"), dedupe.NEAR_RATIO).collect()
+
+
+def test_near_links_of_either_order(spark, monkeypatch):
+    # the matcher isn't symmetric: a later copy of a key brings the other order of the two texts
+    one, two = "ab" * 150 + "c", "ab" * 150 + "d"
+    monkeypatch.setattr(dedupe, "sequence_ratio", lambda left, right: (left > right).astype(float))
+    rows = [("1", "doc", one, None, None, 1, "", {}), ("2", "doc", two, None, None, 1, "", {}), ("3", "doc", one, None, None, 1, "", {})]
+    assert dedupe.near_links(spark.createDataFrame(rows[:2], PIECE)).count() == 0
+    assert [(r.left, r.right) for r in dedupe.near_links(spark.createDataFrame(rows, PIECE)).collect()] == [("2", "3")]
+
+
 def test_style(spark):
     df = spark.createDataFrame([("linkedin_post", "You and I. We are here now."), ("doc", None), ("doc", "")], "source string, text string")
     s = style.corpus_stats(df).head()

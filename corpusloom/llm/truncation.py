@@ -7,7 +7,8 @@ Two kinds of evidence:
   neither pairs nor buckets of a hot prefix arise; ends of ranges are settled through one row per range.
 * The ending itself, for texts of which no longer copy exists. Broken characters, tags and entities tell by rule. For
   the rest a classifier says whether the last segment is a finished one. It is trained on the corpus: sentences and
-  lines that others follow are finished, the same cut at any place are not. Its sample is bounded by TRAIN_DOCS.
+  lines that others follow are finished, the same cut at any place are not. Its sample is bounded by TRAIN_DOCS;
+  the words and closing lines that it asks for are counted over all texts.
 
 A longer copy alone isn't a cut: a text that ends with a finished sentence stops within nothing.
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.frames import map_batches, record
-from corpusloom.runtime import written
+from corpusloom.runtime import checked_broadcast, salted_join, written
 
 #: Texts at most that the classifier is trained on; examples per text; size of the hashed feature space.
 TRAIN_DOCS, PER_DOC, FEATURES = 6000, 8, 1 << 18
@@ -96,7 +97,20 @@ def segment(line: str) -> str:
     return parts[-1].strip() if parts else ""
 
 
-def features(seg: str, known: frozenset, lines: frozenset) -> list[str]:
+def last_word(seg: str) -> str:
+    w = WORD.findall(seg)
+    return w[-1].lower() if w else ""
+
+
+def closing_line(text: str) -> str | None:
+    """The last of several lines if it is short."""
+    t = text.rstrip()
+    last = t.rsplit("\n", 1)[-1].strip().lower()
+    return last if len(last) <= 40 and "\n" in t else None
+
+
+def features(seg: str, known: bool, closing: bool) -> list[str]:
+    """known: whether the corpus has the last word; closing: whether the segment is one of its closing lines."""
     w = [x.lower() for x in WORD.findall(seg)]
     if not w:
         return ["none"]
@@ -104,13 +118,13 @@ def features(seg: str, known: frozenset, lines: frozenset) -> list[str]:
     two, three = " ".join(w[-2:]), " ".join(w[-3:])
     start, start2 = w[0], " ".join(w[:2])
     tail = re.search(r"[^\w\s]*$", seg)[0]
-    k = "known" if last in known else "digits" if last.isdigit() else "new"
+    k = "known" if known else "digits" if last.isdigit() else "new"
     bullet = bool(ITEM.match(seg))
     comma = min(seg.count(","), 3)
     out = [
         "b", f"k={k}", f"l={last}", f"2={two}", f"3={three}", f"n={min(n, 25)}", f"s={start}|n={min(n, 25)}", f"S={start2}|l={last}",
         f"s={start}|l={last}", f"S={start2}|n={min(n, 25)}", f"c={comma}|s={start}", f"S={start2}|c={comma}|k={k}", f"t={tail}", f"i={bullet}|k={k}",
-        f"line={seg.strip().lower() in lines}", f"p={len(last)}|{k}", f"S={start2}|2={w[-2] if n > 1 else ''}", f"e={last[-2:]}", f"low={seg[:1].islower()}|{min(n, 6)}",
+        f"line={closing}", f"p={len(last)}|{k}", f"S={start2}|2={w[-2] if n > 1 else ''}", f"e={last[-2:]}", f"low={seg[:1].islower()}|{min(n, 6)}",
     ]
     for cue in ("but", "and", "that", "because", "when", "than", "so", "from", "not", "or", "first", "it", "was", "dass", "que", "et", "und", "y"):
         if cue in w[:-1]:
@@ -130,19 +144,24 @@ class Endings:
         self.known, self.lines, self.weights = known, lines, weights
         self.beginnings = frozenset(w[:i] for w in known for i in range(1, len(w)))
 
-    def cut_odds(self, segs: list[str]) -> np.ndarray:
+    def flags(self, seg: str) -> tuple[bool, bool, bool]:
+        """Whether the last word is known, whether it begins a known word, whether the segment is a closing line; by the training texts."""
+        last = last_word(seg)
+        return last in self.known, last in self.beginnings, seg.strip().lower() in self.lines
+
+    def cut_odds(self, segs: list[str], flags: list[tuple[bool, bool, bool]] | None = None) -> np.ndarray:
+        flags = [self.flags(s) for s in segs] if flags is None else flags
         names, owner = [], []
-        for i, s in enumerate(segs):
-            f = features(s, self.known, self.lines)
+        for i, (s, (known, _, closing)) in enumerate(zip(segs, flags)):
+            f = features(s, known, closing)
             names += f
             owner += [i] * len(f)
         if not names:
             return np.empty(0)
         odds = np.bincount(owner, self.weights[_slots(names)], minlength=len(segs))
-        for i, s in enumerate(segs):
+        for i, (s, (known, begins, _)) in enumerate(zip(segs, flags)):
             if ITEM.match(s):  # an item of a list ends anywhere, but not within a word
-                last = (WORD.findall(s) or [""])[-1].lower()
-                odds[i] = 1.0 if last not in self.known and last in self.beginnings else -1.0
+                odds[i] = 1.0 if not known and begins else -1.0
         return odds
 
 
@@ -182,22 +201,35 @@ def examples(texts: list[str], per_doc: int, seed: int = 5) -> tuple[list[str],
     return segs, cut
 
 
-def train(texts: list[str], per_doc: int = PER_DOC, epochs: int = 4) -> Endings:
+def counts_of(texts: list[str]) -> tuple[dict[str, int], dict[str, int]]:
+    """How often each word stands before another, and each short line closes a text."""
     counts: dict[str, int] = {}
     closing: dict[str, int] = {}
     for t in texts:
         for w in WORD.findall(t.lower())[:-1]:
             counts[w] = counts.get(w, 0) + 1
-        last = t.rstrip().rsplit("\n", 1)[-1].strip().lower()
-        if len(last) <= 40 and "\n" in t.rstrip():
+        if (last := closing_line(t)) is not None:
             closing[last] = closing.get(last, 0) + 1
-    known = frozenset(w for w, n in counts.items() if n > 1)
-    lines = frozenset(x for x, n in closing.items() if n > 2)
+    return counts, closing
+
+
+#: A word is known if counted so often at least, a line is a closing one.
+KNOWN, CLOSING = 2, 3
+
+
+def train(texts: list[str], per_doc: int = PER_DOC, epochs: int = 4, lexicon=None) -> Endings:
+    """lexicon(words, lines): those of the words and lines that the whole corpus has often enough; without it, texts are the corpus."""
     segs, cut = examples(texts, per_doc)
-    for x in lines:  # closing lines are finished though nothing follows
+    counts, closing = counts_of(texts)
+    if lexicon is None:
+        known = frozenset(w for w, n in counts.items() if n >= KNOWN)
+        lines = frozenset(x for x, n in closing.items() if n >= CLOSING)
+    else:
+        known, lines = lexicon({last_word(s) for s in segs} | {last_word(x) for x in closing}, {s.strip().lower() for s in segs} | set(closing))
+    for x in sorted(lines & set(closing)):  # closing lines are finished though nothing follows
         segs += [x] * 3
         cut += [False] * 3
-    rows = [_slots(features(s, known, lines)) for s in segs]
+    rows = [_slots(features(s, last_word(s) in known, s.strip().lower() in lines)) for s in segs]
     y = np.array(cut, float)
     weights = np.zeros(FEATURES)
     squares = np.full(FEATURES, 1e-6)
@@ -264,31 +296,79 @@ def longer_copies(df: DataFrame, key: str, text: str, parts: int | None = None)
     return out.where(F.col("part") == -1).select(key).unionByName(late)
 
 
-def fit(df: DataFrame, key: str, text: str, max_docs: int = TRAIN_DOCS) -> Endings:
-    """Train on at most max_docs texts, chosen by a hash of the key; all of them if there are fewer."""
+def lexicon(df: DataFrame, text: str) -> DataFrame:
+    """(kind, item) of the words and closing lines that all texts together have often enough."""
+
+    def make():
+        def f(b: pa.RecordBatch):
+            words, lines = counts_of([t for t in b.column(0).to_pylist() if t])
+            return record(kind=["w"] * len(words) + ["l"] * len(lines), item=pa.array([*words, *lines], pa.string()), n=pa.array([*words.values(), *lines.values()], pa.int64()))
+
+        return f
+
+    parts = map_batches(df.select(text), make, "kind string, item string, n bigint").groupBy("kind", "item").agg(F.sum("n").alias("n"))
+    return written(parts.where(F.col("n") >= F.when(F.col("kind") == "w", KNOWN).otherwise(CLOSING)).select("kind", "item"), "lexicon")
+
+
+def fit(df: DataFrame, key: str, text: str, max_docs: int = TRAIN_DOCS, known: DataFrame | None = None) -> Endings:
+    """Train on at most max_docs texts, chosen by a hash of the key; all of them if there are fewer. known: the lexicon of all texts."""
+    known = lexicon(df, text) if known is None else known
     rows = df.where(F.length(text) > 0).select(F.col(text).alias("t"), F.xxhash64(F.lit(3), key).alias("h")).orderBy("h", "t").limit(max_docs)
-    return train([r[0] for r in rows.collect()])
+
+    def ask(words: set, lines: set) -> tuple[frozenset, frozenset]:
+        asked = df.sparkSession.createDataFrame(pd.DataFrame([("w", x) for x in words] + [("l", x) for x in lines], columns=["kind", "item"]), "kind string, item string")
+        got = known.join(asked, ["kind", "item"], "left_semi").collect()
+        return frozenset(r[1] for r in got if r[0] == "w"), frozenset(r[1] for r in got if r[0] == "l")
+
+    return train([r[0] for r in rows.collect()], lexicon=ask)
+
+
+def _flagged(asked: DataFrame, known: DataFrame, spread: str) -> DataFrame:
+    """asked with the flags of each segment: known and begins of its last word, closing of its line; by joins, whatever the lexicon's size."""
+    words = known.where("kind = 'w'").select(F.col("item").alias("last"))
+    lasts = asked.select("last").distinct().join(words.withColumn("known", F.lit(True)), "last", "left")
+    lasts = written(lasts.select("last", F.coalesce("known", F.lit(False)).alias("known")), "last-words")
+    new = lasts.where("not known and last <> ''").select(F.col("last").alias("p"))
+    longest = F.broadcast(new.agg(F.coalesce(F.max(F.length("p")), F.lit(0)).alias("longest")))
+    heads = words.crossJoin(longest).withColumn("m", F.least(F.length("last") - 1, F.col("longest"))).where("m > 0")
+    heads = heads.select(F.explode(F.transform(F.sequence(F.lit(1), F.col("m")), lambda n: F.substring(F.col("last"), F.lit(1), n))).alias("p"))
+    begins = heads.join(checked_broadcast(new), "p", "left_semi").distinct().select(F.col("p").alias("last"), F.lit(True).alias("begins"))
+    lasts = lasts.join(begins, "last", "left").select("last", "known", F.coalesce("begins", F.lit(False)).alias("begins"))
+    lines = known.where("kind = 'l'").select(F.col("item").alias("line"), F.lit(True).alias("closing"))
+    out = salted_join(asked, lasts, ["last"], how="left", spread=spread)
+    return salted_join(out, lines, ["line"], how="left", spread=spread).withColumn("closing", F.coalesce("closing", F.lit(False)))
 
 
 def truncated(df: DataFrame, key: str, text: str, model: Endings | None = None) -> DataFrame:
     """(key, reason, longer_copy) of each text that was cut off; every text is judged whole."""
     spark = df.sparkSession
     kind = dict(df.dtypes)[key]
-    sent = spark.sparkContext.broadcast(model or fit(df, key, text))
+    known = lexicon(df, text)
+    sent = spark.sparkContext.broadcast((model or fit(df, key, text, known=known)).weights)
+
+    def look():
+        def f(b: pa.RecordBatch):
+            got = [verdict(t) for t in b.column(1).to_pylist()]
+            at = [i for i, (v, _) in enumerate(got) if v != "done"]
+            segs = [got[i][1] for i in at]
+            return record(**{
+                key: b.column(0).take(pa.array(at, pa.int64())), "verdict": pa.array([got[i][0] for i in at], pa.string()), "seg": pa.array(segs, pa.string()),
+                "last": pa.array([last_word(s) for s in segs], pa.string()), "line": pa.array([s.strip().lower() for s in segs], pa.string()),
+            })
+
+        return f
 
     def judge():
-        m = sent.value
+        m = Endings(frozenset(), frozenset(), sent.value)
 
         def f(b: pa.RecordBatch):
-            got = [verdict(t) for t in b.column(1).to_pylist()]
-            ask = [i for i, (v, _) in enumerate(got) if v == "ask"]
-            odds = m.cut_odds([got[i][1] for i in ask])
-            reason = {i: "ending" for i, o in zip(ask, odds) if o > 0} | {i: "broken" for i, (v, _) in enumerate(got) if v == "cut"}
-            at = sorted(reason)
-            return record(**{key: b.column(0).take(pa.array(at, pa.int64())), "reason": pa.array([reason[i] for i in at], pa.string())})
+            ok = pa.array(m.cut_odds(b.column(1).to_pylist(), list(zip(*[b.column(i).to_pylist() for i in (2, 3, 4)]))) > 0)
+            return record(**{key: b.column(0).filter(ok), "reason": pa.array(["ending"] * ok.true_count, pa.string())})
 
         return f
 
-    ended = map_batches(df.select(key, text).where(F.col(key).isNotNull()), judge, f"`{key}` {kind}, reason string")
+    seen = written(map_batches(df.select(key, text).where(F.col(key).isNotNull()), look, f"`{key}` {kind}, verdict string, seg string, last string, line string"), "endings")
+    asked = _flagged(seen.where("verdict = 'ask'"), known, key).select(key, "seg", "known", "begins", "closing")
+    ended = map_batches(asked, judge, f"`{key}` {kind}, reason string").unionByName(seen.where("verdict = 'cut'").select(key, F.lit("broken").alias("reason")))
     copies = longer_copies(df, key, text).distinct().withColumn("longer_copy", F.lit(True))
     return ended.join(copies, key, "left").select(key, "reason", F.coalesce("longer_copy", F.lit(False)).alias("longer_copy"))

@@ -189,3 +189,17 @@ def test_truncation(spark):
     m = truncation.train([" ".join(body[i:] + body[:i]) for i in range(27)])
     odds = m.cut_odds(["My team closed the garden plan because the old rule was slow", "My team closed the garden", "A reader wro"])
     assert odds[0] < 0 < odds[1] and odds[2] > 0
+
+
+def test_endings_count_the_whole_corpus(spark, monkeypatch):
+    subj, verb = ("The board", "My team", "A reader"), ("moved", "closed", "wrote")
+    body = " ".join(f"{s} {x} the yearly budget because the old rule was slow." for s in subj for x in verb)
+    rows = [(i, body) for i in range(20)] + [(100 + i, "We met Quillfeather again today. The zanzibar opened.") for i in range(3)]
+    rows += [(200, body + "\n- ask Quillfea"), (201, body + "\n- ask Quillfeather"), (202, body + "\n- see the zanzibar"), (203, body + "\n- other thing")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    known = {tuple(r) for r in truncation.lexicon(df, "text").collect()}
+    assert ("w", "quillfeather") in known and ("w", "thing") not in known
+    # the classifier sees texts without these words
+    model = truncation.train([body] * 20)
+    assert {r.doc_id for r in truncation.truncated(df, "doc_id", "text", model).collect()} == {200}
+    assert {r.doc_id for r in truncation.truncated(df.repartition(5), "doc_id", "text").collect() if r.doc_id >= 200} == {200}

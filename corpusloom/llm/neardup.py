@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.components import components
 from corpusloom.llm.codepoints import BASE_1, BASE_2, U64, Codes, Words, mix, powers
+from corpusloom.llm.formatdup import format_copies
 from corpusloom.llm.frames import map_batches, record, salted_join
 from corpusloom.runtime import checked_broadcast, written
 
@@ -267,6 +268,15 @@ def word_classes(df: DataFrame) -> DataFrame:
     return own.select("id", F.coalesce("cls", F.xxhash64("id")).alias("cls"))
 
 
+def folded_copies(df: DataFrame) -> DataFrame:
+    """(id_a, id_b), id_a < id_b, of all texts of df(id, text) that agree in their letters and digits, whatever their words and length."""
+    one = df.select("id", F.lit("").alias("none"), "text")
+    copies = format_copies(one, "id", ["none", "text"], "record")
+    group = copies.select("first_key", F.col("copy_key").alias("id")).union(copies.select("first_key", "first_key")).distinct()
+    both = group.alias("p").join(group.alias("q"), "first_key").where("p.id < q.id")
+    return both.select(F.col("p.id").alias("id_a"), F.col("q.id").alias("id_b"))
+
+
 def groups(members: DataFrame, links: DataFrame) -> DataFrame:
     """(id, grp, links): the smallest class key reachable over links, however long the chain, and the links of the text's own class."""
     edges = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()

@@ -85,8 +85,9 @@ def p6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    members, links = neardup.similar(_pieces(spark, sf_dir), threshold=0.6, run=3)
-    return neardup.similar_ids(members, links)
+    pieces = _pieces(spark, sf_dir)
+    members, links = neardup.similar(pieces, threshold=0.6, run=3)
+    return neardup.similar_ids(members, links).unionByName(neardup.folded_copies(pieces)).distinct()
 
 
 def p7_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -203,3 +203,10 @@ def test_endings_count_the_whole_corpus(spark, monkeypatch):
     model = truncation.train([body] * 20)
     assert {r.doc_id for r in truncation.truncated(df, "doc_id", "text", model).collect()} == {200}
     assert {r.doc_id for r in truncation.truncated(df.repartition(5), "doc_id", "text").collect() if r.doc_id >= 200} == {200}
+
+
+def test_near_duplicates_hold_folded_copies(spark, tmp_path):
+    rows = [("a", "Can't."), ("b", "cant"), ("c", "CAN T!"), ("d", "We paid 44,000 and can't say why it's so"), ("e", "we paid 44000 and cant say why its so"), ("f", "…"), ("g", "!"), ("h", None), ("i", "other words")]
+    spark.createDataFrame(rows, "id string, text string").write.parquet(str(tmp_path / "pieces.parquet"))
+    got = sorted(tuple(r) for r in queries.p7_found(spark, str(tmp_path)).collect())
+    assert got == [("a", "b"), ("a", "c"), ("b", "c"), ("d", "e")]

@@ -5,7 +5,7 @@ Two kinds of evidence:
 * A longer copy. All stems (texts without a mark of omission at their end) are sorted; whatever has a stem as a strict
   prefix follows it directly, so each stem is compared with its successor only. The sort is by ranges of values, so
   neither pairs nor buckets of a hot prefix arise; ends of ranges are settled through one row per range.
-* The ending itself, for texts of which no longer copy exists. Broken characters, tags and entities tell by rule. For
+* The ending itself, of every text; the result comes from it, longer copies are reported beside it. Broken characters, tags and entities tell by rule. For
   the rest a classifier says whether the last segment is a finished one. It is trained on the corpus: sentences and
   lines that others follow are finished, the same cut at any place are not. Its sample is bounded by TRAIN_DOCS;
   the words and closing lines that it asks for are counted over all texts.

@@ -154,6 +154,23 @@ def format_copies(df: DataFrame, key: str, fields: list[str], kind: str) -> Data
     return good.unionByName(rest.select("first_key", "copy_key"))
 
 
-def collapsed(copies: DataFrame) -> DataFrame:
-    """(first_key, copies): one row per record that was captured more than once, itself counted."""
-    return copies.groupBy("first_key").agg((F.count(F.lit(1)) + 1).alias("copies"))
+def cases(df: DataFrame, key: str, fields: list[str], kind: str) -> DataFrame:
+    """(key) of the records that can have copies, each once."""
+    width = len(fields)
+    rows = df.select(F.col(key).cast("string").alias("key"), *[F.col(f).alias(f"f{i}") for i, f in enumerate(fields)]).where(F.col("key").isNotNull())
+
+    def make():
+        def f(b: pa.RecordBatch):
+            case = _hashed(kind, list(zip(*[b.column(i + 1).to_pylist() for i in range(width)])))[2]
+            return record(key=b.column(0).filter(pa.array(case)))
+
+        return f
+
+    return map_batches(rows, make, "key string").distinct()
+
+
+def collapsed(keys: DataFrame, copies: DataFrame) -> DataFrame:
+    """(first_key, copies): one row per record of cases(), itself counted; copies is 1 where nothing else captured it."""
+    n = copies.groupBy("first_key").agg((F.count(F.lit(1)) + 1).alias("copies"))
+    firsts = keys.join(copies.select(F.col("copy_key").alias("key")), "key", "left_anti").withColumnRenamed("key", "first_key")
+    return firsts.join(n, "first_key", "left").select("first_key", F.coalesce("copies", F.lit(1).cast("bigint")).alias("copies"))

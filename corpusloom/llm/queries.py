@@ -70,9 +70,12 @@ def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+RECORDS = (("pieces", "id", ["source", "text"], "record"), ("index_lines", "line_id", ["line"], "line"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
-    for name, key, fields, kind in (("pieces", "id", ["source", "text"], "record"), ("index_lines", "line_id", ["line"], "line")):
+    for name, key, fields, kind in RECORDS:
         one = formatdup.format_copies(table(spark, sf_dir, name), key, fields, kind)
         one = one.select(F.lit(name).alias("tbl"), "first_key", "copy_key")
         out = one if out is None else out.unionByName(one)
@@ -80,8 +83,13 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    copies = p6_found(spark, sf_dir)
-    return copies.groupBy("tbl", "first_key").agg((F.count(F.lit(1)) + 1).alias("copies"))
+    """One row per record that is a case, with the number of its captures."""
+    out = None
+    for name, *how in RECORDS:
+        df = table(spark, sf_dir, name)
+        one = formatdup.collapsed(formatdup.cases(df, *how), formatdup.format_copies(df, *how)).select(F.lit(name).alias("tbl"), "first_key", "copies")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -210,3 +210,12 @@ def test_near_duplicates_hold_folded_copies(spark, tmp_path):
     spark.createDataFrame(rows, "id string, text string").write.parquet(str(tmp_path / "pieces.parquet"))
     got = sorted(tuple(r) for r in queries.p7_found(spark, str(tmp_path)).collect())
     assert got == [("a", "b"), ("a", "c"), ("b", "c"), ("d", "e")]
+
+
+def test_counts_of_every_record(spark, tmp_path):
+    rows = [("a", "Note", "One, two."), ("b", " note", "one two"), ("d", "doc", "one two"), ("g", "doc", "…"), ("i", "doc", None)]
+    spark.createDataFrame(rows, "id string, source string, text string").write.parquet(str(tmp_path / "pieces.parquet"))
+    lines = [("1", '{"source":"a","text":"Hi there"}'), ("2", '{"text" : "hi  there" , "source":"A"}'), ("3", '{"text":"hi","source":"b"}'), ("4", "{broken")]
+    spark.createDataFrame(lines, "line_id string, line string").write.parquet(str(tmp_path / "index_lines.parquet"))
+    got = sorted(tuple(r) for r in queries.p6_counts(spark, str(tmp_path)).collect())
+    assert got == [("index_lines", "1", 2), ("index_lines", "3", 1), ("pieces", "a", 2), ("pieces", "d", 1)]

@@ -23,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. Set here only where the session has none (tests)."""
+    """The folder that all executors share. Set here only where the session has none and runs in one process (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
@@ -55,13 +57,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint if the side has at most max_rows rows; else df as it is, so that Spark shuffles."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def checked_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """A broadcast hint if the side has at most max_rows rows; else df as it is, so that Spark shuffles.
+
+    The bound is BROADCAST_ROWS, or the session's spark.corpusloom.broadcastRows.
+    """
+    return F.broadcast(df) if _is_small(df, max_rows) else df
+
+
+def _is_small(df: DataFrame, max_rows: int | None) -> bool:
+    most = int(df.sparkSession.conf.get("spark.corpusloom.broadcastRows", str(BROADCAST_ROWS))) if max_rows is None else max_rows
+    return df.limit(most + 1).count() <= most
 
 
-def nonblank(c: Column) -> Column:
-    return F.coalesce(c, F.lit("")).rlike(r"(?U)\S")
+def near_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", spread: str | None = None) -> DataFrame:
+    """Join with a side that is broadcast if it is small, else repeated for big's salts: no key of big is one task either way."""
+    return big.join(F.broadcast(small), keys, how) if _is_small(small, None) else salted_join(big, small, keys, how, spread)
 
 
 def salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", spread: str | None = None) -> DataFrame:

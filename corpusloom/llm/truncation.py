@@ -2,18 +2,19 @@
 
 Two kinds of evidence:
 
-* A longer copy. All stems (texts without a mark of omission at their end) are sorted; whatever has a stem as a strict
-  prefix follows it directly, so each stem is compared with its successor only. The sort is by ranges of values, so
-  neither pairs nor buckets of a hot prefix arise; ends of ranges are settled through one row per range.
-* The ending itself, of every text; the result comes from it, longer copies are reported beside it. Broken characters, tags and entities tell by rule. For
-  the rest a classifier says whether the last segment is a finished one. It is trained on the corpus: sentences and
-  lines that others follow are finished, the same cut at any place are not. Its sample is bounded by TRAIN_DOCS;
-  the words and closing lines that it asks for are counted over all texts.
-
-A longer copy alone isn't a cut: a text that ends with a finished sentence stops within nothing.
+* A longer copy. Hashes of prefixes of fixed lengths (powers of LEVEL) are met with hashes of stems, which are texts
+  without a mark of omission at their end; that leaves the few stems that may be prefixes of others. Only those, each
+  different stem once, are sorted by value: whatever has a stem as a strict prefix follows it directly, so each is
+  compared with its successor. Ends of ranges are settled through one row per range. A stem counts as cut off if its
+  longer copy goes on within the word or sentence.
+* The ending itself, of every text. Broken characters, tags and entities tell by rule. For the rest a classifier says
+  whether the last segment is a finished one. It is trained on the corpus: sentences and lines that others follow are
+  finished, the same cut at any place are not. Its sample is bounded by TRAIN_DOCS; the words and closing lines that it
+  asks for are counted over all texts.
 
 Defined cases: null, blank and letterless texts are complete; a complete text may end in tags, signature, address,
-list, emoji, closing remark or a sentence without its full stop.
+list, emoji, closing remark or a sentence without its full stop; a longer copy that starts a new line or sentence
+after the stem shows nothing.
 """
 
 from __future__ import annotations
@@ -27,19 +28,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.codepoints import BASE_1, MIX_1, U64, Codes, mix, powers
 from corpusloom.llm.frames import map_batches, record
-from corpusloom.runtime import checked_broadcast, salted_join, written
+from corpusloom.runtime import checked_broadcast, near_small, salted_join, written
 
-#: Texts at most that the classifier is trained on; examples per text; size of the hashed feature space.
-TRAIN_DOCS, PER_DOC, FEATURES = 6000, 8, 1 << 18
-MIN_PREFIX = 40
+#: Texts at most that the classifier is trained on; examples per text; size of the hashed feature space; examples a step.
+TRAIN_DOCS, PER_DOC, FEATURES, BATCH = 6000, 8, 1 << 18, 256
+#: Lengths of hashed prefixes are its powers.
+LEVEL = 4
 
+#: One mark of omission at the end of a text; none is longer than TAIL but for runs of dots or angles.
 MARK = re.compile(
-    r"(?:\s*(?:\[\s*(?:…|\.{3,})\s*\]|\(\s*(?:…|\.{3,}|more)\s*\)|…|\.{3,}|(?<![\w.])(?:read|see|show)\s+more|(?<=…)\s*more|>>+|»))+\s*$", re.I
+    r"(?:\[\s{0,9}(?:…|\.{3,9})\s{0,9}\]|\(\s{0,9}(?:…|\.{3,9}|more)\s{0,9}\)|…|\.{3,}|(?<![\w.])(?:read|see|show)\s{1,9}more|(?<=…)\s{0,9}more|>>+|»)$", re.I
 )
-REMARK = re.compile(r"\s*\((?:[^()\n]{1,40})\)\s*$")
-SMILE = re.compile(r"(?:\s*(?:[:;8]-?[)(DPp]|<3|\^\^|[←-⯿\U0001f000-\U0001faff️‍]+))+\s*$")
-TAGS = re.compile(r"(?:\s*<(?:/?[A-Za-z][\w-]*(?:\s[^<>]*)?|!--[^<>]*--)/?>)+\s*$")
+TAIL = 40
+REMARK = re.compile(r"\s*\((?:[^()\n]{1,40})\)$")
+SMILE = re.compile(r"(?:[:;8]-?[)(DPp]|<3|\^\^|[←-⯿\U0001f000-\U0001faff️‍])$")
+TAG = re.compile(r"<(?:/?[A-Za-z][\w-]*(?:\s[^<>]*)?|!--[^<>]*--)/?>$")
 OPEN_TAG = re.compile(r"<(?:/?[A-Za-z!][^<>]*|/)?$")
 #: Entity names whose strict prefixes at the end of a text show a cut.
 ENTITIES = (
@@ -54,9 +59,31 @@ ITEM = re.compile(r"\s*(?:[-*•–]|\d+[.)]|\[.?\])\s")
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 
 
+def without_marks(t: str) -> str:
+    """t without the marks of omission at its end; only the end of a text is looked at, however long it is."""
+    while t and t[-1] in "])….eE>»" and (m := MARK.search(t[-TAIL:])):
+        t = t[: len(t) - len(m[0])]
+        if m[0][0] in ".>":
+            t = t.rstrip(m[0][0])  # a run that is longer than the tail
+        t = t.rstrip()
+    return t
+
+
+def without_tags(t: str) -> str:
+    while t.endswith(">") and (at := t.rfind("<")) >= 0 and TAG.match(t, at):
+        t = t[:at].rstrip()
+    return t
+
+
+def without_smiles(t: str) -> str:
+    while t and (m := SMILE.search(t[-3:])):
+        t = t[: len(t) - len(m[0])].rstrip()
+    return t
+
+
 def stem(text: str) -> str:
     """The text without white space and marks of omission at its end."""
-    return MARK.sub("", (text or "").rstrip()).rstrip()
+    return without_marks((text or "").rstrip())
 
 
 def verdict(text: str) -> tuple[str, str]:
@@ -66,24 +93,25 @@ def verdict(text: str) -> tuple[str, str]:
         return "done", ""
     if t.endswith("�"):
         return "cut", t[-40:]
-    if (m := OPEN_TAG.search(t)) and not re.fullmatch(r"<\d?", m[0]) and len(m[0]) < 400:
+    at = t.rfind("<")
+    if at >= 0 and len(t) - at < 400 and (m := OPEN_TAG.match(t, at)) and not re.fullmatch(r"<\d?", m[0]):
         return "cut", m[0]
-    if (m := OPEN_ENTITY.search(t)) and m[1] is not None and (m[1].startswith("#") or any(e.startswith(m[1]) for e in ENTITIES)):
+    at = t.rfind("&", max(0, len(t) - 10))
+    if at >= 0 and (m := OPEN_ENTITY.match(t, at)) and m[1] is not None and (m[1].startswith("#") or any(e.startswith(m[1]) for e in ENTITIES)):
         return "cut", m[0]
     before = None
     smiled = False
     while before != t:
         before = t
-        t = TAGS.sub("", t).rstrip()
-        if (s := SMILE.sub("", t).rstrip()) != t:
+        t = without_tags(t)
+        if (s := without_smiles(t)) != t:
             t, smiled = s, True
     if smiled or not t:
         return "done", t[-40:]
-    t = MARK.sub("", t).rstrip()
-    t = TAGS.sub("", t).rstrip()
-    if ENDED.search(t):
+    t = without_tags(without_marks(t))
+    if ENDED.search(t[-60:]):
         return "done", t[-40:]
-    if (m := REMARK.search(t)) and ENDED.search(t[: m.start()].rstrip()):
+    if t.endswith(")") and (m := REMARK.search(t[-80:])) and ENDED.search(t[: len(t) - len(m[0])].rstrip()[-60:]):
         return "done", t[-40:]
     line = re.sub(r"<[^<>]*>", " ", t.rsplit("\n", 1)[-1]).strip()
     tokens = line.split()
@@ -229,71 +257,113 @@ def train(texts: list[str], per_doc: int = PER_DOC, epochs: int = 4, lexicon=Non
     for x in sorted(lines & set(closing)):  # closing lines are finished though nothing follows
         segs += [x] * 3
         cut += [False] * 3
-    rows = [_slots(features(s, last_word(s) in known, s.strip().lower() in lines)) for s in segs]
+    names = [features(s, last_word(s) in known, s.strip().lower() in lines) for s in segs]
+    size = np.array([len(x) for x in names])
+    slots, start = _slots([y for x in names for y in x]), np.concatenate(([0], np.cumsum(size)))
     y = np.array(cut, float)
     weights = np.zeros(FEATURES)
     squares = np.full(FEATURES, 1e-6)
     rng = np.random.default_rng(11)
-    size = 256
     for _ in range(epochs):
-        order = rng.permutation(len(rows))
-        for a in range(0, len(order), size):
-            part = order[a : a + size]
-            idx = np.concatenate([rows[i] for i in part])
-            own = np.repeat(np.arange(len(part)), [len(rows[i]) for i in part])
+        order = rng.permutation(len(names))
+        for a in range(0, len(order), BATCH):
+            part = order[a : a + BATCH]
+            own = np.repeat(np.arange(len(part)), size[part])
+            idx = slots[np.repeat(start[part] - np.concatenate(([0], np.cumsum(size[part])[:-1])), size[part]) + np.arange(len(own))]
             p = 1 / (1 + np.exp(-np.clip(np.bincount(own, weights[idx], minlength=len(part)), -30, 30)))
-            g = np.bincount(idx, (p - y[part])[own], minlength=FEATURES)
-            at = np.flatnonzero(g)
-            squares[at] += g[at] ** 2
-            weights[at] -= 0.3 * g[at] / np.sqrt(squares[at])
+            at, back = np.unique(idx, return_inverse=True)
+            g = np.bincount(back, (p - y[part])[own])
+            squares[at] += g**2
+            weights[at] -= 0.3 * g / np.sqrt(squares[at])
     return Endings(known, lines, weights)
 
 
+def prefix_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the text, hash of the whole text, level, hash of its prefix of that level, whether the level is its highest)."""
+    c = Codes(texts)
+    n = np.diff(c.start)
+    place = np.arange(len(c.codes)) - np.repeat(c.start[:-1], n)
+    sums = np.zeros(len(c.codes) + 1, U64)
+    if len(c.codes):
+        np.cumsum(mix(c.codes.astype(U64)) * powers(BASE_1, int(n.max()) + 1)[place], out=sums[1:])
+    upto = lambda i, size: mix(sums[c.start[i] + size] - sums[c.start[i]] + size.astype(U64) * MIX_1)
+    whole = upto(np.arange(c.n), n)
+    out = [[] for _ in range(3)]
+    level, size = 0, 1
+    while size <= (int(n.max()) if len(n) else 0):
+        i = np.flatnonzero(n >= size)
+        for o, x in zip(out, (i, np.full(len(i), level, np.int32), upto(i, np.full(len(i), size)))):
+            o.append(x)
+        level, size = level + 1, size * LEVEL
+    i, lev, pre = (np.concatenate(o) if o else np.empty(0, np.int64) for o in out)
+    return i, whole[i], lev.astype(np.int32), pre.astype(U64), n[i] < LEVEL ** (lev + 1)
+
+
+def goes_on(short: str, long: str) -> bool:
+    """Whether a longer copy goes on within the word or sentence at which the shorter one stops."""
+    rest = long[len(short) :]
+    if short[-1].isalnum() and rest[0].isalnum():
+        return True
+    return not ENDED.search(short[-60:]) and not short.endswith(":") and "\n" not in rest[: len(rest) - len(rest.lstrip())]
+
+
 def longer_copies(df: DataFrame, key: str, text: str, parts: int | None = None) -> DataFrame:
-    """(key) of rows whose stem of MIN_PREFIX or more characters is a strict prefix of another row's stem."""
+    """(key, goes_on) of rows whose stem is a strict prefix of another row's stem, of any length. Rows of one key count once."""
     spark = df.sparkSession
+    kind = dict(df.dtypes)[key]
+    df = df.select(key, text).where(F.col(key).isNotNull())
+
+    def hashed():
+        def f(b: pa.RecordBatch):
+            i, whole, level, prefix, own = prefix_hashes([stem(t) for t in b.column(1).to_pylist()])
+            return record(**{key: b.column(0).take(pa.array(i)), "whole": whole.view(np.int64), "level": level, "prefix": prefix.view(np.int64), "own": own})
+
+        return f
+
+    rows = written(map_batches(df, hashed, f"`{key}` {kind}, whole bigint, level int, prefix bigint, own boolean"), "prefixes")
+    groups = rows.groupBy("level", "prefix").agg(F.min("whole").alias("lo"), F.max("whole").alias("hi"), F.max("own").alias("stops"))
+    groups = written(groups.where("stops and lo <> hi").select("level", "prefix"), "prefix-groups")
+    maybe = near_small(rows.select(key, "whole", "level", "prefix"), groups, ["level", "prefix"], spread="whole")
+    maybe = written(maybe.groupBy("whole").agg(F.min(key).alias(key)), "maybe-prefixes")
 
     def stems():
         def f(b: pa.RecordBatch):
-            return record(**{key: b.column(0), "stem": pa.array([stem(t) for t in b.column(1).to_pylist()], pa.string())})
+            return record(whole=b.column(0), stem=pa.array([stem(t) for t in b.column(1).to_pylist()], pa.string()))
 
         return f
 
-    kind = dict(df.dtypes)[key]
-    rows = map_batches(df.select(key, text), stems, f"`{key}` {kind}, stem string").where(F.length("stem") >= MIN_PREFIX)
+    texts = df.join(checked_broadcast(maybe), key).dropDuplicates(["whole"]).select("whole", text)
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(n, "stem").sortWithinPartitions("stem")
+    ranged = map_batches(texts, stems, "whole bigint, stem string").repartitionByRange(n, "stem").sortWithinPartitions("stem")
 
     def compare(batches):
-        # a stem waits until a different one comes; equal stems wait together
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        first, waiting, held = None, [], None
+        first = whole = held = None
         for b in batches:
-            keys, decided = [], []
-            for k, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            got, on = [], []
+            for w, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if first is None:
                     first = s
-                if s != held:
-                    if held is not None and s.startswith(held):
-                        keys += waiting
-                    held, waiting = s, []
-                waiting.append(k)
-            decided = len(keys)
-            yield record(**{key: pa.array(keys, b.schema.field(0).type), "part": pa.array([-1] * decided, pa.int32()), "stem": pa.array([None] * decided, pa.string())})
-            kind_ = b.schema.field(0).type
+                elif s != held and s.startswith(held):
+                    got.append(whole)
+                    on.append(goes_on(held, s))
+                whole, held = w, s
+            none = len(got)
+            yield record(whole=pa.array(got, pa.int64()), goes_on=pa.array(on, pa.bool_()), part=pa.array([None] * none, pa.int32()), first=pa.array([None] * none, pa.string()), last=pa.array([None] * none, pa.string()))
         if first is not None:
-            m = len(waiting)
-            yield record(**{key: pa.array([None] + waiting, kind_), "part": pa.array([part] * (m + 1), pa.int32()), "stem": pa.array([first] + [held] * m, pa.string())})
+            yield record(whole=pa.array([whole], pa.int64()), goes_on=pa.array([None], pa.bool_()), part=pa.array([part], pa.int32()), first=pa.array([first], pa.string()), last=pa.array([held], pa.string()))
 
-    out = ranged.mapInArrow(compare, f"`{key}` {kind}, part int, stem string")
-    out = written(out, "prefixes")
-    firsts = out.where((F.col("part") >= 0) & F.col(key).isNull()).select(F.col("part").alias("p"), F.col("stem").alias("next"))
-    open_ = out.where((F.col("part") >= 0) & F.col(key).isNotNull())
-    ends = open_.select("part").distinct().join(firsts, F.col("p") > F.col("part")).groupBy("part").agg(F.min_by("next", "p").alias("next"))
-    late = open_.join(ends, "part").where(F.startswith("next", "stem") & (F.length("next") > F.length("stem"))).select(key)
-    return out.where(F.col("part") == -1).select(key).unionByName(late)
+    out = written(ranged.mapInArrow(compare, "whole bigint, goes_on boolean, part int, first string, last string"), "prefix-pairs")
+    ends = out.where("part is not null")  # one row per range
+    after = ends.select(F.col("part").alias("p"), F.col("first").alias("next"))
+    ends = ends.join(F.broadcast(after), F.col("p") > F.col("part")).groupBy("whole", "last").agg(F.min_by("next", "p").alias("next"))
+    ends = ends.where(F.startswith("next", "last") & (F.length("next") > F.length("last")))
+    ends = ends.select("whole", F.udf(goes_on, "boolean")("last", "next").alias("goes_on"))  # at most one row per range
+    found = out.where("part is null").select("whole", "goes_on").unionByName(ends)
+    own = rows.where("own").select(key, "whole")
+    return near_small(own, found, ["whole"], spread=key).groupBy(key).agg(F.max("goes_on").alias("goes_on"))
 
 
 def lexicon(df: DataFrame, text: str) -> DataFrame:
@@ -310,17 +380,26 @@ def lexicon(df: DataFrame, text: str) -> DataFrame:
     return written(parts.where(F.col("n") >= F.when(F.col("kind") == "w", KNOWN).otherwise(CLOSING)).select("kind", "item"), "lexicon")
 
 
+def sampled(df: DataFrame, key: str, most: int) -> DataFrame:
+    """About `most` rows, or all if there are no more: those whose hash of the key lies under a bound, so nothing is sorted and few rows are sent."""
+    n = df.select(key).count()
+    share = min(1.0, most / max(n, 1))
+    h = F.shiftrightunsigned(F.xxhash64(F.lit(3), key), 1)
+    return df.withColumn("__h", h).where(F.col("__h") <= int(share * (2**63 - 1)))
+
+
 def fit(df: DataFrame, key: str, text: str, max_docs: int = TRAIN_DOCS, known: DataFrame | None = None) -> Endings:
     """Train on at most max_docs texts, chosen by a hash of the key; all of them if there are fewer. known: the lexicon of all texts."""
     known = lexicon(df, text) if known is None else known
-    rows = df.where(F.length(text) > 0).select(F.col(text).alias("t"), F.xxhash64(F.lit(3), key).alias("h")).orderBy("h", "t").limit(max_docs)
+    rows = sampled(df.where(F.length(text) > 0), key, max_docs).select(F.col(text).alias("t"), "__h").collect()
+    rows = sorted(rows, key=lambda r: (r[1], r[0]))[:max_docs]
 
     def ask(words: set, lines: set) -> tuple[frozenset, frozenset]:
         asked = df.sparkSession.createDataFrame(pd.DataFrame([("w", x) for x in words] + [("l", x) for x in lines], columns=["kind", "item"]), "kind string, item string")
         got = known.join(asked, ["kind", "item"], "left_semi").collect()
         return frozenset(r[1] for r in got if r[0] == "w"), frozenset(r[1] for r in got if r[0] == "l")
 
-    return train([r[0] for r in rows.collect()], lexicon=ask)
+    return train([r[0] for r in rows], lexicon=ask)
 
 
 def _flagged(asked: DataFrame, known: DataFrame, spread: str) -> DataFrame:
@@ -340,7 +419,7 @@ def _flagged(asked: DataFrame, known: DataFrame, spread: str) -> DataFrame:
 
 
 def truncated(df: DataFrame, key: str, text: str, model: Endings | None = None) -> DataFrame:
-    """(key, reason, longer_copy) of each text that was cut off; every text is judged whole."""
+    """(key, reason, longer_copy) of each text that was cut off, by its ending or by a longer copy; every text is judged whole."""
     spark = df.sparkSession
     kind = dict(df.dtypes)[key]
     known = lexicon(df, text)
@@ -370,5 +449,6 @@ def truncated(df: DataFrame, key: str, text: str, model: Endings | None = None)
     seen = written(map_batches(df.select(key, text).where(F.col(key).isNotNull()), look, f"`{key}` {kind}, verdict string, seg string, last string, line string"), "endings")
     asked = _flagged(seen.where("verdict = 'ask'"), known, key).select(key, "seg", "known", "begins", "closing")
     ended = map_batches(asked, judge, f"`{key}` {kind}, reason string").unionByName(seen.where("verdict = 'cut'").select(key, F.lit("broken").alias("reason")))
-    copies = longer_copies(df, key, text).distinct().withColumn("longer_copy", F.lit(True))
-    return ended.join(copies, key, "left").select(key, "reason", F.coalesce("longer_copy", F.lit(False)).alias("longer_copy"))
+    copies = written(longer_copies(df, key, text), "longer-copies")
+    ended = ended.unionByName(copies.where("goes_on").select(key, F.lit("longer copy").alias("reason"))).groupBy(key).agg(F.min("reason").alias("reason"))
+    return ended.join(copies.select(key, F.lit(True).alias("longer_copy")), key, "left").select(key, "reason", F.coalesce("longer_copy", F.lit(False)).alias("longer_copy"))

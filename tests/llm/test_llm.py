@@ -180,10 +180,15 @@ def test_truncation(spark):
         "done", "done", "done", "cut", "cut", "cut", "done", "done", "done", "done",
     ]
     full = "The board moved the yearly budget review to Friday and nobody asked why it was late."
-    rows = [(1, full), (2, full[:60]), (3, full[:60]), (4, "another text that is quite long and stands alone here"), (5, None), (6, "")]
+    rows = [(1, full), (2, full[:60]), (3, full[:60]), (4, "another text that is quite long and stands alone here"), (5, None), (6, ""), (7, "The"), (8, full + " Then it rained.")]
+    rows += [(9, "First line\nsecond"), (10, "First line"), (11, "x" * 5000 + " end"), (12, "x" * 5000), (13, full[:40] + " […]")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    assert sorted(r.doc_id for r in truncation.longer_copies(df, "doc_id", "text").collect()) == [2, 3]
+    want = {1: False, 2: True, 3: True, 7: True, 10: False, 12: True, 13: True}
+    for parts in (1, 4, 9):
+        assert {r.doc_id: r.goes_on for r in truncation.longer_copies(df, "doc_id", "text", parts).collect()} == want
     assert truncation.longer_copies(df.limit(0), "doc_id", "text").count() == 0
+    got = {r.doc_id for r in truncation.truncated(df, "doc_id", "text").collect() if r.longer_copy}
+    assert {i for i, on in want.items() if on} <= got
     subj, verb, obj = ("The board", "My team", "A reader"), ("moved", "closed", "wrote"), ("the yearly budget", "the garden plan", "a survey memo")
     body = [f"{s} {x} {o} because the old rule was slow." for s in subj for x in verb for o in obj]
     m = truncation.train([" ".join(body[i:] + body[:i]) for i in range(27)])
@@ -191,6 +196,17 @@ def test_truncation(spark):
     assert odds[0] < 0 < odds[1] and odds[2] > 0
 
 
+def test_longer_copies_of_a_hot_stem(spark):
+    # a third of all rows is one cut text; brute force agrees
+    r = np.random.default_rng(2)
+    body = [" ".join(r.choice(["plan", "desk", "rule", "map", "note", "tool"], 12)) for _ in range(60)]
+    rows = list(enumerate(body + [t[: int(r.integers(1, len(t)))] for t in body] + [body[0][:31]] * 60))
+    stems = {i: truncation.stem(t) for i, t in rows}
+    want = {i for i, s in stems.items() if s and any(x != s and x.startswith(s) for x in stems.values())}
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    assert {x.doc_id for x in truncation.longer_copies(df.repartition(5), "doc_id", "text").collect()} == want
+
+
 def test_endings_count_the_whole_corpus(spark, monkeypatch):
     subj, verb = ("The board", "My team", "A reader"), ("moved", "closed", "wrote")
     body = " ".join(f"{s} {x} the yearly budget because the old rule was slow." for s in subj for x in verb)

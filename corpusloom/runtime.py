@@ -50,6 +50,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"corpusloom-{name}-{uuid.uuid4().hex}")
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, asked of the file system that the path names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Like cut, but columnar and compressed: smaller on disk, and later reads prune columns."""
     path = shared_path(df.sparkSession, name)

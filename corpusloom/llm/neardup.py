@@ -7,6 +7,8 @@ Similarity is the share of common runs of `run` consecutive words among all runs
    bits of each minimum make a signature of 128 bits whose Hamming distance estimates the similarity.
 3. Within a bucket, signatures sorted by population count are compared exactly, tile against tile, by exclusive-or
    and bit counts; tile pairs whose population counts differ beyond the radius are skipped.
+   A bucket of more than HOT classes is cut into blocks by population count and hash, and every pair of blocks that may
+   hold a pair is a unit of work of its own, so no bucket is one task.
 4. What lies within the radius is compared run by run, so the result holds no false pair.
 
 All-pairs tiling over the whole collection would be quadratic, hence the buckets. With 25 buckets per class a pair at
@@ -33,11 +35,12 @@ from corpusloom.runtime import checked_broadcast, written
 
 #: Buckets per class and minima per bucket; signature bits come from the first 64 minima.
 BUCKETS, PER_BUCKET, SIGNED = 25, 3, 64
-#: Hamming radius by threshold: mean distance at the threshold plus four standard deviations of the estimate.
-TILE = 512
+#: Rows of a tile; classes above which a bucket is dealt out in blocks; rows of a block.
+TILE, HOT, BLOCK = 512, 16_384, 8_192
 
 
 def radius(threshold: float) -> int:
+    """Hamming radius: mean distance at the threshold plus four standard deviations of the estimate."""
     miss = 1 - threshold
     return int(np.ceil(SIGNED * miss + 4 * np.sqrt(SIGNED * (1.5 * miss - miss * miss))))
 
@@ -114,47 +117,146 @@ def _small_buckets(start, size, low, high, cls, far):
         k += 1
 
 
-def bucket_pairs(far: int):
-    """mapInArrow over rows sorted by bucket: candidate pairs, a bucket that spans batches being put together first."""
+def _unique_pairs(found: list) -> np.ndarray:
+    a = np.concatenate([x for x, _ in found]) if found else np.empty(0, np.int64)
+    b = np.concatenate([y for _, y in found]) if found else np.empty(0, np.int64)
+    return np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0) if len(a) else np.empty((0, 2), np.int64)
+
+
+def _one_per_class(key, cls, low, high):
+    """Rows sorted by key with each class once: copies of a class come from several partitions."""
+    order = np.lexsort((cls, key))
+    key, cls, low, high = key[order], cls[order], low[order], high[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
+    return key[new], cls[new], low[new], high[new]
+
+
+FOUND = "a bigint, b bigint, bucket bigint, low bigint, high bigint"
+
+
+def _pairs_record(both: np.ndarray) -> pa.RecordBatch:
+    none = pa.nulls(len(both), pa.int64())
+    return record(a=both[:, 0], b=both[:, 1], bucket=none, low=none, high=none)
+
+
+def _rows_record(bucket, cls, low, high) -> pa.RecordBatch:
+    return record(a=cls, b=pa.nulls(len(cls), pa.int64()), bucket=bucket, low=low.view(np.int64), high=high.view(np.int64))
+
+
+def bucket_pairs(far: int, hot: int = HOT):
+    """mapInArrow over rows sorted by bucket, giving FOUND: candidate pairs (a, b), and the rows (a, bucket, low, high) of buckets above hot.
+
+    A bucket that spans batches is put together first; one that grows above hot is handed on as it comes.
+    """
 
     def pairs(key, cls, low, high):
-        # one row per class and bucket: copies of a class come from several partitions
-        order = np.lexsort((cls, key))
-        key, cls, low, high = key[order], cls[order], low[order], high[order]
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
-        key, cls, low, high = key[new], cls[new], low[new], high[new]
+        key, cls, low, high = _one_per_class(key, cls, low, high)
         start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         size = np.diff(np.append(start, len(key)))
         small = (size > 1) & (size <= 32)
         found = list(_small_buckets(start[small], size[small], low, high, cls, far)) if small.any() else []
         for s, n in zip(start[size > 32], size[size > 32]):
-            found += _tiles(low[s : s + n], high[s : s + n], cls[s : s + n], far)
-        a = np.concatenate([x for x, _ in found]) if found else np.empty(0, np.int64)
-        b = np.concatenate([y for _, y in found]) if found else np.empty(0, np.int64)
-        both = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0) if len(a) else np.empty((0, 2), np.int64)
-        return record(a=both[:, 0], b=both[:, 1])
+            if n <= hot:
+                found += _tiles(low[s : s + n], high[s : s + n], cls[s : s + n], far)
+            else:
+                yield _rows_record(key[s : s + n], cls[s : s + n], low[s : s + n], high[s : s + n])
+        yield _pairs_record(_unique_pairs(found))
 
     def run(batches):
         held: list[list[np.ndarray]] = []
+        streaming = None  # the bucket whose rows are handed on
         for batch in batches:
             cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
             cols[2:] = [c.view(U64) for c in cols[2:]]  # bits of a negative number would be those of its absolute value
             if not len(cols[0]):
                 continue
+            if streaming is not None:
+                cut = int(np.searchsorted(cols[0], streaming, "right"))
+                yield _rows_record(*[c[:cut] for c in cols])
+                cols = [c[cut:] for c in cols]
+                if not len(cols[0]):
+                    continue
+                streaming = None
             if cols[0][-1] != cols[0][0] or (held and held[-1][0][-1] != cols[0][0]):
                 cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last bucket may go on
                 held.append([c[:cut] for c in cols])
-                yield pairs(*map(np.concatenate, zip(*held)))
+                yield from pairs(*map(np.concatenate, zip(*held)))
                 held = [[c[cut:] for c in cols]]
             else:
                 held.append(cols)
+            if sum(len(h[0]) for h in held) > 4 * hot:
+                rest = _one_per_class(*map(np.concatenate, zip(*held)))
+                held = [list(rest)]
+                if len(rest[0]) > hot:
+                    streaming = int(rest[0][0])
+                    yield _rows_record(*rest)
+                    held = []
+        if held:
+            yield from pairs(*map(np.concatenate, zip(*held)))
+
+    return run
+
+
+def block_pairs(far: int):
+    """mapInArrow over (work, cls, low, high, side) sorted by work: pairs of the two blocks of a unit of work, or within its one block."""
+
+    def meet(work, cls, low, high, side):
+        order = np.argsort(work, kind="stable")
+        work, cls, low, high, side = work[order], cls[order], low[order], high[order], side[order]
+        found = []
+        cuts = np.flatnonzero(np.concatenate(([True], work[1:] != work[:-1], [True])))
+        for s, e in zip(cuts[:-1], cuts[1:]):
+            if side[s:e].max() == 0:
+                found += _tiles(low[s:e], high[s:e], cls[s:e], far)
+                continue
+            l, r = (np.flatnonzero(side[s:e] == k) + s for k in (1, 2))
+            for i in range(0, len(l), TILE):
+                for j in range(0, len(r), TILE):
+                    x, y = l[i : i + TILE], r[j : j + TILE]
+                    gap = np.bitwise_count(low[x, None] ^ low[None, y]) + np.bitwise_count(high[x, None] ^ high[None, y])
+                    p, q = np.nonzero(gap <= far)
+                    found.append((cls[x][p], cls[y][q]))
+        return _pairs_record(_unique_pairs(found))
+
+    def run(batches):
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            cols[2:4] = [c.view(U64) for c in cols[2:4]]
+            if not len(cols[0]):
+                continue
+            cut = int(np.searchsorted(cols[0], cols[0][-1]))
+            held.append([c[:cut] for c in cols])
+            if cut or (len(held) > 1 and len(held[-2][0]) and held[-2][0][-1] != cols[0][0]):
+                yield meet(*map(np.concatenate, zip(*held)))
+                held = []
+            held.append([c[cut:] for c in cols])
         if held:
-            yield pairs(*map(np.concatenate, zip(*held)))
+            yield meet(*map(np.concatenate, zip(*held)))
 
     return run
 
 
+def _split_buckets(rows: DataFrame, far: int, block: int = BLOCK) -> DataFrame:
+    """FOUND for rows(bucket, cls, low, high) of buckets that are too large for one task."""
+    rows = rows.distinct().withColumn("pop", (F.bit_count("low") + F.bit_count("high")).cast("int"))
+    rows = written(rows, "hot-bucket-rows")
+    sizes = rows.groupBy("bucket", "pop").agg(F.count(F.lit(1)).alias("n"))  # at most 129 rows a bucket
+    sizes = written(sizes.withColumn("parts", F.ceil(F.col("n") / block).cast("int")).select("bucket", "pop", "parts"), "hot-bucket-sizes")
+    blocks = sizes.select("bucket", "pop", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    a, b = blocks.select("bucket", F.col("pop").alias("pop1"), F.col("part").alias("part1")), blocks.select("bucket", F.col("pop").alias("pop2"), F.col("part").alias("part2"))
+    near = (F.col("pop2") - F.col("pop1")).between(0, far) & ((F.col("pop1") < F.col("pop2")) | (F.col("part1") <= F.col("part2")))
+    work = a.join(b, "bucket").where(near).withColumn("work", F.xxhash64("bucket", "pop1", "part1", "pop2", "part2"))
+    work = written(work, "hot-bucket-work")
+    same = (F.col("pop1") == F.col("pop2")) & (F.col("part1") == F.col("part2"))
+    left = work.select("bucket", F.col("pop1").alias("pop"), F.col("part1").alias("part"), "work", F.when(same, 0).otherwise(1).alias("side"))
+    right = work.where(~same).select("bucket", F.col("pop2").alias("pop"), F.col("part2").alias("part"), "work", F.lit(2).alias("side"))
+    placed = rows.join(checked_broadcast(sizes), ["bucket", "pop"]).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+    dealt = placed.join(checked_broadcast(left.unionByName(right)), ["bucket", "pop", "part"]).select("work", "cls", "low", "high", "side")
+    return dealt.repartition("work").sortWithinPartitions("work").mapInArrow(block_pairs(far), FOUND)
+
+
 def classes(df: DataFrame, run: int) -> DataFrame:
     """(id, cls) of every text that has a run of words."""
 
@@ -224,12 +326,23 @@ def _verified(pairs: DataFrame, threshold: float) -> DataFrame:
     return map_batches(pairs, make, "a bigint, b bigint, similarity double")
 
 
-def similar(df: DataFrame, threshold: float = 0.8, run: int = 5) -> tuple[DataFrame, DataFrame]:
+def _candidates(df: DataFrame, threshold: float, run: int, hot: int, block: int) -> DataFrame:
+    """(a, b) with a < b of classes within the radius in a bucket."""
+    far = radius(threshold)
+    near = _postings(df, run).repartition("bucket").sortWithinPartitions("bucket")
+    found = written(near.mapInArrow(bucket_pairs(far, hot), FOUND), "bucket-pairs")
+    pairs = found.where("b is not null").select("a", "b")
+    large = found.where("b is null").select("bucket", F.col("a").alias("cls"), "low", "high")
+    if large.limit(1).count():
+        pairs = pairs.unionByName(_split_buckets(large, far, block).select("a", "b"))
+    return written(pairs.distinct(), "candidates")
+
+
+def similar(df: DataFrame, threshold: float = 0.8, run: int = 5, hot: int = HOT, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """For df(id, text): members(id, cls) and links(a, b, similarity) between classes with a < b."""
     df = df.select(F.col("id").cast("string").alias("id"), "text").where(F.col("id").isNotNull())
     members = written(classes(df, run).distinct(), "classes")
-    near = _postings(df, run).repartition("bucket").sortWithinPartitions("bucket")
-    cand = written(near.mapInArrow(bucket_pairs(radius(threshold)), "a bigint, b bigint").distinct(), "candidates")
+    cand = _candidates(df, threshold, run, hot, block)
     wanted = cand.select(F.col("a").alias("cls")).union(cand.select("b")).distinct()
     one = members.join(checked_broadcast(wanted), "cls", "left_semi").groupBy("cls").agg(F.min("id").alias("id"))
     texts = df.join(checked_broadcast(one), "id").dropDuplicates(["cls"]).select("cls", "text")
@@ -239,17 +352,29 @@ def similar(df: DataFrame, threshold: float = 0.8, run: int = 5) -> tuple[DataFr
     return members, _verified(both, threshold)
 
 
-def similar_ids(members: DataFrame, links: DataFrame) -> DataFrame:
+#: Members of one class beyond which its pairs are dealt out to several tasks.
+SHARE = 4096
+
+
+def similar_ids(members: DataFrame, links: DataFrame, share: int = SHARE) -> DataFrame:
     """All pairs (id_a, id_b) with id_a < id_b: within each class and across each link.
 
     This spells out every pair, which is what some results are defined as; groups() gives one row per text instead.
+    Members of a large class are split by a hash; each part meets the whole class, repeated once per part.
     """
-    size = members.groupBy("cls").agg(F.count(F.lit(1)).alias("n"))
-    many = members.join(size.where("n > 1").select("cls"), "cls")
-    within = many.alias("p").join(many.alias("q"), "cls").where("p.id < q.id").select(F.col("p.id").alias("id_a"), F.col("q.id").alias("id_b"))
-    # one row per link and side, then the members of either side
-    across = links.select("a", "b").join(members.select(F.col("cls").alias("a"), F.col("id").alias("x")), "a")
-    across = across.join(members.select(F.col("cls").alias("b"), F.col("id").alias("y")), "b")
+    size = members.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / share).cast("int"))
+    many = members.join(size.where("n > 1").select("cls", "parts"), "cls")
+    split = lambda d: d.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    whole = lambda d: d.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    p, q = split(many).select("cls", "part", F.col("id").alias("id_a")), whole(many).select("cls", "part", F.col("id").alias("id_b"))
+    within = p.join(q, ["cls", "part"]).where("id_a < id_b").select("id_a", "id_b")
+    # one row per link and pair of parts of its classes, then the members of either part
+    own = split(members.join(size.select("cls", "parts"), "cls"))
+    side = lambda c, x: own.select(F.col("cls").alias(c), F.col("part").alias("part_" + c), F.col("id").alias(x))
+    dealt = links.select("a", "b")
+    for c in "ab":
+        dealt = whole(dealt.join(size.select(F.col("cls").alias(c), "parts"), c)).withColumnRenamed("part", "part_" + c).drop("parts")
+    across = dealt.join(side("a", "x"), ["a", "part_a"]).join(side("b", "y"), ["b", "part_b"])
     across = across.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
     return within.unionByName(across)
 

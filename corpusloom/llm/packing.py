@@ -3,7 +3,9 @@
 Only the histogram, which has at most as many rows as the capacity, reaches the driver. Lengths are placed longest
 first; each goes into the emptiest kind of pack it fits into, many packs of a kind at a time, so the work depends on
 the capacity and not on the number of documents. Patterns come back to documents by rank: documents of one length are
-ranked within salted cells whose offsets are summed, so one length may hold any share of all documents.
+ranked within salted cells whose offsets are summed; the number of cells grows with the number of documents of that
+length, so one length may hold any share of all documents. Equal lengths of a pattern share one slot, so there are at
+most a few slots a pattern and the table of slots, whose size depends on the capacity alone, is broadcast.
 
 Defined cases: a document longer than the capacity is split into full sequences and a rest, no other is split; a
 document without tokens needs no sequence and gets sequence null; repeated rows are packed each for itself.
@@ -14,10 +16,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.runtime import checked_broadcast, written
+from corpusloom.runtime import near_small, written
 
 CAPACITY = 1024
-SALTS = 64
+#: Chunks of one length that are ranked in one task.
+CELL = 50_000
 
 
 def pack_histogram(histogram: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
@@ -62,32 +65,44 @@ def chunks(sizes: DataFrame, key: str, capacity: int) -> DataFrame:
     return out.select(key, "chunk", F.least(F.col("all") - F.col("chunk") * capacity, F.lit(capacity)).alias("n_tokens"))
 
 
-def packed(sizes: DataFrame, key: str, capacity: int = CAPACITY) -> DataFrame:
-    """(key, chunk, n_tokens, sequence, at) for sizes(key, n_tokens): the sequence of each chunk and where in it it begins."""
-    spark = sizes.sparkSession
-    parts = written(chunks(sizes.select(key, F.coalesce("n_tokens", F.lit(0)).alias("n_tokens")), key, capacity), "chunks")
-    salt = F.pmod(F.xxhash64(key, "chunk"), F.lit(SALTS)).cast("int")
-    cells = parts.groupBy("n_tokens", salt.alias("salt")).agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("n_tokens").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    cells = written(cells.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))), "cells")
-    histogram = {r[0]: r[1] for r in cells.groupBy("n_tokens").agg(F.sum("n")).collect()}  # at most capacity + 1 rows
+SLOTS = "n_tokens int, lo bigint, hi bigint, first bigint, each bigint, at int"
+
+
+def slot_rows(patterns: list[tuple[int, tuple[int, ...]]]) -> list[tuple]:
+    """SLOTS of each pattern, one for each different length: ranks lo to hi go into the sequences from `first` on, `each` to one, from `at` on."""
     rows, start, taken = [], 0, {}
-    for count, lengths in pack_histogram({x: n for x, n in histogram.items() if x > 0}, capacity):
+    for count, lengths in patterns:
         at = 0
-        for x in lengths:
-            lo = taken.get(x, 0)
-            rows.append((x, lo, lo + count, start - lo, at))
-            taken[x] = lo + count
-            at += x
+        for x in sorted(set(lengths), reverse=True):
+            each, lo = lengths.count(x), taken.get(x, 0)
+            rows.append((x, lo, lo + count * each, start, each, at))
+            taken[x] = lo + count * each
+            at += each * x
         start += count
-    slots = spark.createDataFrame(rows, "n_tokens int, lo bigint, hi bigint, shift bigint, at int")
+    return rows
+
+
+def packed(sizes: DataFrame, key: str, capacity: int = CAPACITY, cell: int = CELL) -> DataFrame:
+    """(key, chunk, n_tokens, sequence, at) for sizes(key, n_tokens): the sequence of each chunk and where in it it begins."""
+    spark = sizes.sparkSession
+    parts = written(chunks(sizes.select(key, F.coalesce("n_tokens", F.lit(0)).alias("n_tokens")), key, capacity), "chunks")
+    histogram = {r[0]: r[1] for r in parts.groupBy("n_tokens").agg(F.count(F.lit(1))).collect()}  # at most capacity + 1 rows
+    salts = F.create_map(*[F.lit(x) for n, k in histogram.items() if k > cell for x in (n, -(-k // cell))]).cast("map<int,int>")
+    salt = F.pmod(F.xxhash64(key, "chunk"), F.coalesce(F.try_element_at(salts, F.col("n_tokens")), F.lit(1))).cast("int")
+    parts = parts.withColumn("salt", salt)
+    cells = parts.groupBy("n_tokens", "salt").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("n_tokens").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)  # one row per cell
+    cells = written(cells.select("n_tokens", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "cells")
+    slots = spark.createDataFrame(slot_rows(pack_histogram({x: n for x, n in histogram.items() if x > 0}, capacity)), SLOTS)
     rank = F.row_number().over(Window.partitionBy("n_tokens", "salt").orderBy(key, "chunk")) - 1
-    ranked = parts.withColumn("salt", salt).withColumn("own", rank)
-    ranked = ranked.join(checked_broadcast(cells.select("n_tokens", "salt", "before")), ["n_tokens", "salt"])
+    ranked = near_small(parts.withColumn("own", rank), cells, ["n_tokens", "salt"], spread=key)
     ranked = ranked.select(key, "chunk", "n_tokens", (F.col("before") + F.col("own")).alias("rank"))
-    s, r = checked_broadcast(slots).alias("s"), ranked.alias("r")
+    s, r = F.broadcast(slots).alias("s"), ranked.alias("r")
     on = (F.col("r.n_tokens") == F.col("s.n_tokens")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))
-    return r.join(s, on, "left").select(key, "chunk", "r.n_tokens", (F.col("rank") + F.col("shift")).alias("sequence"), "at")
+    place = F.col("rank") - F.col("lo")
+    sequence = F.col("first") + F.floor(place / F.col("each"))
+    at = (F.col("at") + F.pmod(place, F.col("each")) * F.col("r.n_tokens")).cast("int")
+    return r.join(s, on, "left").select(key, "chunk", "r.n_tokens", sequence.cast("bigint").alias("sequence"), at.alias("at"))
 
 
 def fill(placed: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -35,20 +35,35 @@ def p2_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.where("removed_chars > 0")
 
 
+def _in_batches(pieces: DataFrame, batches: int, compact_at: int | None = None) -> DataFrame:
+    """(id, shared_chars) from an index fed batch by batch: what each batch shares with itself and all before it, put together."""
+    index = spans.FingerprintIndex(pieces.sparkSession)
+    got = None
+    for i in range(batches):
+        if i == compact_at:
+            index.compact()
+        name = index.append(pieces.where(F.pmod(F.xxhash64("id"), F.lit(batches)) == i))
+        new = spans.batch_stretches(pieces, index, name)
+        got = new if got is None else got.unionByName(new)
+    return spans.shared_by_id(index, got)
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = _pieces(spark, sf_dir)
-    index = spans.FingerprintIndex(spark)
-    return spans.shared_chars(pieces, index, index.append(pieces))
+    """The records come in two batches; the second is merge-joined with the run of the first."""
+    return _in_batches(_pieces(spark, sf_dir), 2)
 
 
 def p3_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The index fed in three batches with a compaction between: what the last batch shares with anything before it."""
-    t = table(spark, sf_dir, "pieces").select("id", "text", F.pmod(F.xxhash64("id"), F.lit(3)).alias("part"))
+    """The same from three batches with a compaction before the last."""
+    return _in_batches(_pieces(spark, sf_dir), 3, compact_at=2)
+
+
+def p3_last_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the last of three batches shares with anything: records that it has no part in aren't listed."""
+    pieces = _pieces(spark, sf_dir)
     index = spans.FingerprintIndex(spark)
-    index.append(t.where("part = 0"))
-    index.append(t.where("part = 1"))
-    index.compact()
-    return spans.shared_chars(t, index, index.append(t.where("part = 2")))
+    names = [index.append(pieces.where(F.pmod(F.xxhash64("id"), F.lit(3)) == i)) for i in range(3)]
+    return spans.shared_chars(pieces, index, names[-1])
 
 
 def _people(spark: SparkSession, sf_dir: str):
@@ -143,5 +158,5 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.withColumn("rate", F.col("cut_off") / F.col("documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_spans, p2_clean, p3_found, p3_incremental, p4_found, p4_redacted, p6_found, p6_counts, p7_found, p7_groups, p8_sequences, p8_fill, p9_uses, p9_shares, p9_mixture, p10_found, p10_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_spans, p2_clean, p3_found, p3_incremental, p3_last_batch, p4_found, p4_redacted, p6_found, p6_counts, p7_found, p7_groups, p8_sequences, p8_fill, p9_uses, p9_shares, p9_mixture, p10_found, p10_rates)}
 ORACLE: dict[str, str] = {}

@@ -360,7 +360,7 @@ def longer_copies(df: DataFrame, key: str, text: str, parts: int | None = None)
     after = ends.select(F.col("part").alias("p"), F.col("first").alias("next"))
     ends = ends.join(F.broadcast(after), F.col("p") > F.col("part")).groupBy("whole", "last").agg(F.min_by("next", "p").alias("next"))
     ends = ends.where(F.startswith("next", "last") & (F.length("next") > F.length("last")))
-    ends = ends.select("whole", F.udf(goes_on, "boolean")("last", "next").alias("goes_on"))  # at most one row per range
+    ends = ends.select("whole", F.udf(goes_on, "boolean", useArrow=False)("last", "next").alias("goes_on"))  # at most one row per range
     found = out.where("part is null").select("whole", "goes_on").unionByName(ends)
     own = rows.where("own").select(key, "whole")
     return near_small(own, found, ["whole"], spread=key).groupBy(key).agg(F.max("goes_on").alias("goes_on"))
@@ -383,9 +383,9 @@ def lexicon(df: DataFrame, text: str) -> DataFrame:
 def sampled(df: DataFrame, key: str, most: int) -> DataFrame:
     """About `most` rows, or all if there are no more: those whose hash of the key lies under a bound, so nothing is sorted and few rows are sent."""
     n = df.select(key).count()
-    share = min(1.0, most / max(n, 1))
+    bound = 2**63 - 1 if n <= most else int(2**63 * most / n)
     h = F.shiftrightunsigned(F.xxhash64(F.lit(3), key), 1)
-    return df.withColumn("__h", h).where(F.col("__h") <= int(share * (2**63 - 1)))
+    return df.withColumn("__h", h).where(F.col("__h") <= bound)
 
 
 def fit(df: DataFrame, key: str, text: str, max_docs: int = TRAIN_DOCS, known: DataFrame | None = None) -> Endings:

@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,13 +48,51 @@ def test_shared_spans(spark, texts):
         if n:
             want[i] = n
     index = spans.FingerprintIndex(spark)
-    got = {r.id: r.shared_chars for r in spans.shared_chars(df, index, index.append(df)).collect()}
-    assert got == want and len(want) > 10
-    two = spans.FingerprintIndex(spark)
-    two.append(df.where("id < 'p'"))
-    two.compact()
-    late = {r.id for r in spans.shared_chars(df, two, two.append(df.where("id >= 'p'"))).collect()}
-    assert late <= set(want) and any(i.startswith("p") for i in late)
+    name = index.append(df)
+    chars = lambda x: {r.id: r.shared_chars for r in x.collect()}
+    assert chars(spans.shared_chars(df, index, name)) == want and len(want) > 10
+    assert chars(spans.shared_by_id(index, spans.batch_stretches(df, index, name, hot=1))) == want
+
+
+def test_shared_spans_batch_by_batch(spark, texts, tmp_path):
+    rows, df = texts
+    df = df.unionByName(spark.createDataFrame([("zz", rows[0][1]), ("p000", rows[0][1])], "id string, text string"))
+    whole = spans.FingerprintIndex(spark)
+    chars = lambda x: {r.id: r.shared_chars for r in x.collect()}
+    want = chars(spans.shared_chars(df, whole, whole.append(df)))
+    path = "file://" + str(tmp_path / "index")
+    got = None
+    for i in range(3):
+        index = spans.FingerprintIndex(spark, path)  # opened anew for each batch
+        if i == 2:
+            index.compact()
+            assert len(index.runs) == 1
+        part = df.where(F.pmod(F.xxhash64("id"), F.lit(3)) == i)
+        new = spans.batch_stretches(df, index, index.append(part))
+        got = new if got is None else got.unionByName(new)
+    assert chars(spans.shared_by_id(index, got)) == want
+    # old records that share only among themselves aren't listed with a batch that has no part in it
+    a, b, c = ("x" * 30 + " ".join(f"{k}{i}" for i in range(90)) for k in "abc")
+    old = spark.createDataFrame([("o1", a), ("o2", a), ("o3", b)], "id string, text string")
+    late = spark.createDataFrame([("n1", b + "!"), ("n2", c)], "id string, text string")
+    index = spans.FingerprintIndex(spark)
+    index.append(old)
+    assert set(chars(spans.shared_chars(old.unionByName(late), index, index.append(late)))) == {"o3", "n1"}
+    plan = index.run(index.runs[0]).unionByName(index.run(index.runs[1])).dropDuplicates(["hash", "cls", "pos"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_shared_spans_of_a_hot_stretch(spark):
+    r = np.random.default_rng(6)
+    foot = "Sent from the desk of nobody in particular: " + " ".join(f"w{i}" for i in range(80))
+    rows = [(f"h{i:03}", " ".join(f"{x}" for x in r.integers(0, 10**6, 40)) + foot) for i in range(60)]
+    rows += [(f"o{i:03}", " ".join(f"{x}" for x in r.integers(0, 10**6, 60))) for i in range(120)]
+    df = spark.createDataFrame(rows, "id string, text string").repartition(4)
+    index = spans.FingerprintIndex(spark)
+    name = index.append(df)
+    cold, hot = (spans.shared_by_id(index, spans.batch_stretches(df, index, name, hot=h)) for h in (10**6, 20))
+    a, b = ({x.id: x.shared_chars for x in y.collect()} for y in (cold, hot))
+    assert a == b and set(a) == {f"h{i:03}" for i in range(60)} and set(a.values()) <= set(range(len(foot), len(foot) + 6))
 
 
 def test_near_duplicates(spark, texts):
@@ -63,11 +102,33 @@ def test_near_duplicates(spark, texts):
     want = {(a, b) for a in ids for b in ids if a < b and len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b])}
     members, links = neardup.similar(df, 0.6, 3)
     assert {tuple(r) for r in neardup.similar_ids(members, links).collect()} == want
+    assert {tuple(r) for r in neardup.similar_ids(members, links, share=2).collect()} == want
+    for hot, block in ((2, 3), (5, 100)):  # buckets above hot are cut into blocks
+        assert {tuple(r) for r in neardup.similar_ids(*neardup.similar(df, 0.6, 3, hot=hot, block=block)).collect()} == want
     g = {r.id: r.grp for r in neardup.groups(members, links).collect()}
     assert all(g[a] == g[b] for a, b in want) and set(g) == set(ids)
     assert neardup.similar(df.limit(0), 0.6, 3)[1].count() == 0
 
 
+def test_large_bucket():
+    r = np.random.default_rng(1)
+    n = 700
+    low, high = (r.integers(0, 2**63, n).astype(np.uint64) for _ in range(2))
+    low[1::2], high[1::2] = low[::2] ^ np.uint64(5), high[::2]
+    cls = np.arange(n) * 3 - 900
+    key = np.where(np.arange(n) < 20, 1, 7)
+    batches = lambda: iter([pa.RecordBatch.from_arrays([pa.array(x) for x in (key[i : i + 90], cls[i : i + 90], low[i : i + 90].view(np.int64), high[i : i + 90].view(np.int64))], names=list("abcd")) for i in range(0, n, 90)])
+    for hot in (50, 100, 699, 10_000):
+        pairs, rows = set(), set()
+        for b in neardup.bucket_pairs(10, hot)(batches()):
+            for x in b.to_pylist():
+                pairs.add((x["a"], x["b"])) if x["b"] is not None else rows.add((x["bucket"], x["a"]))
+        want = {(c, c + 3) for c in cls[::2].tolist()}
+        small = {p for p in want if p[0] < cls[20]}
+        assert pairs == (want if hot > 680 else small)
+        assert rows == (set() if hot > 680 else {(7, c) for c in cls[20:].tolist()})
+
+
 def test_groups_of_long_chains(spark):
     r = np.random.default_rng(8)
     keys = np.unique(r.integers(-(2**62), 2**62, 1500))
@@ -153,7 +214,10 @@ def test_personal_items(spark):
 def test_packing(spark):
     r = np.random.default_rng(1)
     sizes = [(int(i), int(n)) for i, n in enumerate(r.integers(0, 300, 400))] + [(900, 2500), (901, 1024), (902, 0), (903, None)]
-    placed = packing.packed(spark.createDataFrame(sizes, "id bigint, n_tokens int"), "id").toPandas()
+    frame = spark.createDataFrame(sizes, "id bigint, n_tokens int")
+    placed = packing.packed(frame, "id", cell=7).toPandas()
+    assert len(packing.packed(frame, "id").toPandas()) == len(placed)
+    assert packing.packed(frame.limit(0), "id").count() == 0
     assert placed[placed.n_tokens > 0].sequence.notna().all() and placed[placed.n_tokens == 0].sequence.isna().all()
     used = placed.dropna().sort_values(["sequence", "at"])
     for _, g in used.groupby("sequence"):

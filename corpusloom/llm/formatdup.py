@@ -1,8 +1,10 @@
 """Records that differ only in white space, case, punctuation or field order.
 
-Each record's bytes stream through a skip-and-fold table into two rolling polynomial hashes; no canonical string is
-made. Rows of one hash are then verified against the group's first row by a comparison that skips what the table
-skips. Groups are counted by partial aggregates, so a group may hold any share of all rows.
+Each record's code points pass through a skip-and-fold table into two rolling polynomial hashes. Rows of one hash are
+then verified against the group's first row by a comparison that skips what the table skips. Both work on a batch at a
+time: its folded code points stand in one array while it is hashed or compared, so no canonical text is made, stored or
+sent, but the comparison is one of arrays rather than a walk with two pointers. Groups are counted by partial
+aggregates, so a group may hold any share of all rows.
 
 Defined cases: null fields count as empty; records whose text has no letter or digit are no cases; a line that isn't
 a JSON object is no case; the first key of a group is its smallest; a key that repeats counts once.
@@ -42,7 +44,7 @@ def folded_hashes(c: Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def same_folded(a: list, b: list) -> np.ndarray:
-    """Whether a[i] and b[i] agree in everything but what the fold table skips, each text walked once."""
+    """Whether a[i] and b[i] agree in everything but what the fold table skips."""
     ca, cb = Codes(a), Codes(b)
     ka, kb = fold(ca.codes), fold(cb.codes)
     pa_, pb_ = np.flatnonzero(ka), np.flatnonzero(kb)

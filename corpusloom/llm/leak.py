@@ -10,6 +10,8 @@ words are maximal runs of letters or digits, lower-cased, so punctuation, markup
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.codepoints import Codes, Words, fold
 from corpusloom.llm.frames import map_batches, record
+from corpusloom.runtime import checked_broadcast, written
 
 N_WORDS = 20
 #: Characters of evaluation text per broadcast block; its n-gram arrays take about four bytes for each.
@@ -84,15 +87,16 @@ def leaks_in(table: GramTable, ids: list, texts: list) -> tuple[list, list, list
     return out
 
 
-def _blocks(items: DataFrame) -> list[list]:
-    blocks, size = [[]], 0
-    for r in items.toLocalIterator(prefetchPartitions=False):  # the evaluation set comes in blocks, the corpus never
-        if blocks[-1] and size + len(r[1]) > BLOCK_CHARS:
-            blocks.append([])
-            size = 0
-        blocks[-1].append(r)
+def _blocks(items: DataFrame) -> Iterator[list]:
+    """Blocks of about BLOCK_CHARS characters, each given away when it is full: the driver holds one, and the corpus never comes here."""
+    block, size = [], 0
+    for r in items.toLocalIterator(prefetchPartitions=False):
+        if block and size + len(r[1]) > BLOCK_CHARS:
+            yield block
+            block, size = [], 0
+        block.append(r)
         size += len(r[1])
-    return blocks
+    yield block
 
 
 def leaked_spans(corpus: DataFrame, items: DataFrame, n: int = N_WORDS) -> DataFrame:
@@ -129,7 +133,7 @@ def without_spans(corpus: DataFrame, spans: DataFrame) -> DataFrame:
         F.concat(a["kept"], F.substring(F.col("text"), a["at"] + 1, F.greatest(x["begin"] - a["at"], F.lit(0)))).alias("kept"),
     )
     done = F.aggregate("s", start, step)
-    j = corpus.select("id", "text").join(merged, "id", "left")
+    j = corpus.select("id", "text").join(checked_broadcast(written(merged, "leaks")), "id", "left")
     text = F.when(F.col("s").isNull(), F.col("text")).otherwise(
         F.concat(done["kept"], F.substring(F.col("text"), done["at"] + 1, F.length("text")))
     )

@@ -4,8 +4,8 @@
 2. Model: a Gaussian mixture on standardized statistics, fitted by expectation-maximization over all texts. Every round
    is one job that sums each component's moments in the tasks; only those sums come to the driver. The components
    start at inspected examples, one kind of text each.
-3. Names: a component gets the name of the inspected examples for which it is responsible.
-4. Check: a text named list, table or junk must consist of that by more than half, by the measured shares.
+3. Names: a component gets the name of the inspected examples for which it is responsible; a text gets the name of its
+   likeliest component, and nothing overrules that.
 
 Defined cases: null, empty and letterless texts have no name (and are left out of the fit); very long texts are
 measured whole; a wrong word count is found for any text that isn't null.
@@ -22,20 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.frames import map_batches, record
+from corpusloom.llm.stopwords import stop_words
 from corpusloom.runtime import written
 
-#: Frequent words of English, German, French and Spanish.
-COMMON = frozenset(
-    "a about after again all also an and any are as at be because been before but by can come could day did do don even "
-    "every first for from get give go good had has have he her him his how i if in into is it its just know like look make "
-    "me more most my no not now of on one only or other our out over said say see she so some still take than that the "
-    "their them then there these they think this time to too two up us use want was way we well were what when which who "
-    "why will with work would you your s t ve ll re isn wasn shouldn half each both "
-    "der die das und ist nicht ein eine zu den dem mit für auf im von wir ich sie es sich dass weil wie hat haben wer "
-    "trotzdem aber auch noch nur vor über wirkte gestern unsere "
-    "le la les un une des et est pas que qui dans pour sur au aux ce cette nous vous il elle mais plus notre reste faut "
-    "el los las y en es no se del al por para con su una lo como pero más este esta nuestra quien si cuidas".split()
-)
 STATS = (
     "words", "mean_word_length", "symbol_ratio", "digit_ratio", "ended_lines", "common_words", "distinct_words", "item_share",
     "row_share", "language_share", "odd_words", "garbled", "line_words",
@@ -61,7 +50,7 @@ def is_odd(word: str) -> bool:
     return ODD.search(word) is not None
 
 
-def _rows(lines: list[str]) -> list[int]:
+def _rows(lines: list[str], common: frozenset) -> list[int]:
     """Cells of each line that looks like a row of columns, else 0."""
     out = []
     for x in lines:
@@ -74,7 +63,7 @@ def _rows(lines: list[str]) -> list[int]:
             out.append(0)  # nothing below takes a line for a row that ends a sentence and holds no separator
             continue
         w = [y for y in WORD.findall(NOT_GIVEN.sub(" ", s.lower())) if y.isalpha()]
-        if len(w) >= 5 and sum(y in COMMON for y in w) >= 0.25 * len(w):
+        if len(w) >= 5 and sum(y in common for y in w) >= 0.25 * len(w):
             out.append(0)  # a sentence with odd white space
             continue
         bars, tabs = s.count("|"), x.count("\t")
@@ -96,7 +85,7 @@ def _rows(lines: list[str]) -> list[int]:
     return out
 
 
-def _enumerates(line: str) -> bool:
+def _enumerates(line: str, common: frozenset) -> bool:
     """Whether a line is an enumeration: six or more different short items between commas or the like."""
     if sum(map(line.count, ",;·•/|")) < 5:
         return False
@@ -105,11 +94,11 @@ def _enumerates(line: str) -> bool:
     if len(parts) < 6 or max(sizes) > 7 or sum(sizes) > 4.5 * len(parts) or 2 * len({" ".join(x).lower() for x in parts}) < len(parts):
         return False
     w = WORD.findall(line.lower())
-    return sum(y in COMMON for y in w) < 0.2 * len(w) and sum(y.isalpha() for y in w) > 0.6 * len(w)
+    return sum(y in common for y in w) < 0.2 * len(w) and sum(y.isalpha() for y in w) > 0.6 * len(w)
 
 
-def statistics(text: str) -> list[float]:
-    """The numbers of STATS; item_share, row_share and language_share are shares of the characters in lines."""
+def statistics(text: str, common: frozenset) -> list[float]:
+    """The numbers of STATS; common holds frequent words; item_share, row_share and language_share are shares of the characters in lines."""
     text = text or ""
     bare = TAG.sub(" ", text) if "<" in text else text
     lines = [x for x in bare.splitlines() if x.strip()]
@@ -120,7 +109,7 @@ def statistics(text: str) -> list[float]:
         return [float(len(text.split()))] + [0.0] * (len(STATS) - 1)
     weight = [len(x.strip()) for x in lines]
     total = sum(weight)
-    cells = _rows(lines)
+    cells = _rows(lines, common)
     solid = [bool(c) for c in cells]
     if sum(solid) < 3:
         solid = [False] * len(lines)
@@ -130,7 +119,7 @@ def statistics(text: str) -> list[float]:
         n = len(s.split())
         if row:
             items.append(0)
-        elif MARKER.match(x) or _enumerates(s):
+        elif MARKER.match(x) or _enumerates(s, common):
             items.append(2)
         elif n <= 6 and (KEYED.match(x) or (s[0].isupper() and not s.endswith((".", "!", "?", ",", ":")))) and 4 * (sum(map(str.isalpha, s)) + s.count(" ")) >= 3 * len(s):
             items.append(1)
@@ -146,11 +135,11 @@ def statistics(text: str) -> list[float]:
             for j in range(i - run, i):
                 items[j] = 0
         run = 0
-    common = sum(w in COMMON for w in words)
+    frequent = sum(w in common for w in words)
     language = ended = 0
     for x, n, row, item in zip(lines, weight, solid, items):
         w = WORD.findall(NOT_GIVEN.sub(" ", x.lower()))
-        if not row and not item and len(w) >= 3 and sum(y in COMMON for y in w) >= 0.12 * len(w):
+        if not row and not item and len(w) >= 3 and sum(y in common for y in w) >= 0.12 * len(w):
             language += n
         ended += x.rstrip().endswith((".", "!", "?", "…", ":", '"', "”"))
     letters = [w for w in words if w.isalpha()]
@@ -158,7 +147,7 @@ def statistics(text: str) -> list[float]:
     alnum = sum(map(len, words))
     return [
         float(len(text.split())), dense / len(tokens), 1 - alnum / dense, sum(map(str.isdigit, bare)) / dense, ended / len(lines),
-        common / len(words), len(set(words)) / len(words), sum(n for n, i in zip(weight, items) if i) / total,
+        frequent / len(words), len(set(words)) / len(words), sum(n for n, i in zip(weight, items) if i) / total,
         sum(n for n, r in zip(weight, solid) if r) / total, language / total, odd / max(1, len(letters)),
         sum(len(m) for m in GARBLED.findall(text)) / max(1, len(text)), len(words) / len(lines),
     ]
@@ -282,7 +271,8 @@ def fit(x: DataFrame) -> tuple[Mixture | None, list[str]]:
     mean = np.array([first[0, 1 + i] for i in range(d)]) / n
     scale = np.sqrt(np.maximum(np.array([first[0, 1 + d + i] for i in range(d)]) / n - mean**2, 1e-4))
     shown = inspected()
-    z = (fitted(np.array([statistics(t) for _, _, t in shown])) - mean) / scale
+    common = stop_words()
+    z = (fitted(np.array([statistics(t, common) for _, _, t in shown])) - mean) / scale
     k = len(shown)
     model = Mixture(mean, scale, np.full(k, 1 / k), z, np.tile(np.eye(d) * 0.5, (k, 1, 1)))
     last = -np.inf
@@ -321,11 +311,12 @@ def measured(df: DataFrame, key: str, text: str, keep: tuple[str, ...] = ()) ->
     """(key, keep..., is_text, STATS...) of every row; statistics are null for null texts."""
     rows = df.select(F.col(key), *keep, F.col(text))
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    common = stop_words()
 
     def make():
         def f(b: pa.RecordBatch):
             texts = b.column(b.num_columns - 1).to_pylist()
-            s = np.array([statistics(t) for t in texts]).reshape(-1, len(STATS))
+            s = np.array([statistics(t, common) for t in texts]).reshape(-1, len(STATS))
             none = np.array([t is None for t in texts])
             is_text = np.array([bool(t) and WORD.search(t) is not None for t in texts])
             cols = {b.schema.names[i]: b.column(i) for i in range(b.num_columns - 1)}
@@ -365,11 +356,6 @@ def named(stats: DataFrame) -> DataFrame:
             ok = np.array(b.column(is_text).to_pylist(), bool)
             if m is not None and ok.any():
                 kind[ok] = name[m.log_parts(m.standardized(fitted(s[ok]))).argmax(1)]
-                share = lambda n: s[:, STATS.index(n)]
-                item, row, lang = share("item_share"), share("row_share"), share("language_share")
-                kind[(kind == "list") & (item <= 0.5)] = "prose"
-                kind[(kind == "table") & (row <= 0.5)] = "prose"
-                kind[(kind == "junk") & ((lang >= 0.5) | (item > 0.5) | (row > 0.5))] = "prose"
             return record(**{n: b.column(i) for i, n in enumerate(b.schema.names)}, kind=pa.array(kind.tolist(), pa.string()))
 
         return f

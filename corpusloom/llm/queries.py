@@ -69,7 +69,7 @@ def p3_last_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _people(spark: SparkSession, sf_dir: str):
     """(table, keys, texts, model) of the tables with free text."""
     pieces, comments = (table(spark, sf_dir, t, spread=True) for t in ("pieces", "li_comments"))
-    model = pii.fit(table(spark, sf_dir, "given_names"), pieces, "text")
+    model = pii.fit(table(spark, sf_dir, "given_names"), [pieces.select("text"), comments.select("Message")])
     yield "pieces", pieces.select(F.col("id").alias("rec_key"), "text"), model
     yield "li_comments", comments.select(F.col("comment_id").cast("string").alias("rec_key"), F.col("Message").alias("text")), model
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.llm import formatdup, leak, mixing, neardup, packing, pii, quality, queries, spans, truncation
+from corpusloom.llm.stopwords import stop_words
 
 W = re.compile(r"[^\W_]+")
 
@@ -175,8 +176,8 @@ def test_format_copies(spark):
     assert formatdup.same_folded(["a-b", "a", ""], ["A B", "b", "!"]).tolist() == [True, False, True]
 
 
-def test_quality():
-    s = lambda t: dict(zip(quality.STATS, quality.statistics(t)))
+def test_quality(spark):
+    s = lambda t: dict(zip(quality.STATS, quality.statistics(t, stop_words())))
     shown = quality.inspected()
     for name, kind, t in shown:
         x = s(t)
@@ -200,7 +201,7 @@ def test_quality_mixture(spark):
 
 def test_personal_items(spark):
     names = frozenset({"anna", "daniel", "rose"})
-    field, gate = pii.train(names, frozenset({"plan", "budget", "review"})), pii.gate(names)
+    field, gate = pii.train(names, frozenset({"plan", "budget", "review"}), stop_words()), pii.gate(names)
     table = pii.labelled(2, seed=77)
     got = pii.items_in(field, gate, [t for t, _ in table])
     kinds = lambda x: {k for _, _, k in x}
@@ -211,6 +212,29 @@ def test_personal_items(spark):
     assert red["1"] == ("Call [PHONE] before noon.", 1) and red["2"] == (None, 0) and red["4"][1] == 0
 
 
+def test_personal_items_of_sentences_held_out(spark):
+    names = frozenset("anna daniel clara erik rose may hope grace mark will".split())
+    hit, want = {k: 0 for k in pii.KINDS}, {k: 0 for k in pii.KINDS}
+    for fold in range(2):
+        out = pii.SENTENCES[fold::4]
+        field = pii.train(names, frozenset(), stop_words(), table=pii.labelled(sentences=tuple(x for x in pii.SENTENCES if x not in out)))
+        table = pii.labelled(3, seed=99, sentences=out)
+        for (_, items), got in zip(table, pii.items_in(field, pii.gate(names), [t for t, _ in table])):
+            for k in pii.KINDS:
+                n, m = sum(x[2] == k for x in items), sum(x[2] == k for x in got)
+                want[k] += n
+                hit[k] += min(n, m)
+    assert all(want[k] > 10 and hit[k] >= 0.8 * want[k] for k in pii.KINDS), (hit, want)
+
+
+def test_ordinary_words(spark):
+    texts = spark.createDataFrame([("The plan went on",), ("the plan of Plan B",), ("rare",), (None,), ("",)] + [("copy copy rare2x",)] * 5, "t string")
+    assert pii.ordinary_words([texts.coalesce(1)]) == {"plan"}
+    assert pii.ordinary_words([texts.limit(0)]) == frozenset()
+    with pytest.raises(ValueError, match="given names"):
+        pii.fit(spark.range(pii.MAX_NAMES + 1).select(F.col("id").cast("string").alias("given_name")), [texts])
+
+
 def test_packing(spark):
     r = np.random.default_rng(1)
     sizes = [(int(i), int(n)) for i, n in enumerate(r.integers(0, 300, 400))] + [(900, 2500), (901, 1024), (902, 0), (903, None)]

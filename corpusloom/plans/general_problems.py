@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators.timestamps import normalize_stamps
-from corpusloom.runtime import checked_broadcast, table
+from corpusloom.runtime import near_small, table
 
 STAMPED = (("pieces", "id", "date"), ("li_shares", "share_id", "Date"), ("li_comments", "comment_id", "Date"))
 
@@ -22,7 +22,7 @@ def stamped(spark: SparkSession, sf_dir: str) -> DataFrame:
     profiles = table(spark, sf_dir, "profiles").select("profile_id", "date_order", "home_zone")
     # one row per profile, whatever comes in
     profiles = profiles.groupBy("profile_id").agg(F.min("date_order").alias("date_order"), F.min("home_zone").alias("home_zone"))
-    return out.where(F.col("stamp").isNotNull()).join(checked_broadcast(profiles), "profile_id", "left")
+    return near_small(out.where(F.col("stamp").isNotNull()), profiles, ["profile_id"], how="left", spread="rec_key")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -118,6 +118,16 @@ def summary(df: DataFrame) -> DataFrame:
     return by.select(kind.alias("kind"), F.coalesce("source", "year", F.lit("")).alias("value"), "pieces", "words")
 
 
+def run_summary(df: DataFrame, sources: list[str], min_words: int = 40, through_year: int | None = None, include_undated: bool = False) -> DataFrame:
+    """One row on a selection and the index it is from: pieces and words selected, undated pieces, all pieces; in one pass."""
+    dated = F.when(F.col("year").isNull(), F.lit(include_undated)).otherwise(F.lit(True) if through_year is None else F.col("year") <= through_year)
+    fits = (F.coalesce("word_count", F.lit(0)) >= min_words) & dated & F.coalesce(F.col("source").isin(*sources), F.lit(False))
+    return df.agg(
+        F.count_if(fits).alias("pieces"), F.coalesce(F.sum(F.when(fits, F.col("word_count"))), F.lit(0)).cast("bigint").alias("words"),
+        F.count_if(F.col("year").isNull()).alias("undated_in_index"), F.count(F.lit(1)).alias("index_total"),
+    )
+
+
 def size_gate(df: DataFrame, block: int = 20, warn: int = 50) -> DataFrame:
     n = F.count(F.lit(1))
     return df.agg(n.alias("selected"), (n < block).alias("blocked"), ((n >= block) & (n < warn)).alias("warned"))

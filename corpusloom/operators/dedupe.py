@@ -1,6 +1,6 @@
 """Duplicate pieces: exact by a cleaned key across everything, near ones within equal source and date, one keeper a group.
 
-near_ratio=None groups by exact keys only; else groups are what exact keys and near links reach together.
+near_ratio=None, or one of 1 or more, groups by exact keys only; else groups are what exact keys and near links reach together.
 """
 
 from __future__ import annotations
@@ -21,9 +21,9 @@ PRIORITY = ("linkedin_article", "linkedin_post", "linkedin_comment")
 
 
 def with_key(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add `key`: the cleaned text with white space collapsed, in lower case; empty for blank texts."""
+    """Add `key`: the cleaned text with white space collapsed and case folded (ß is ss); empty for blank texts."""
     clean = normalized(df, text, "__clean")
-    key = F.lower(T.trim_all(F.regexp_replace(F.col("__clean"), rf"{T.WS}+", " ")))
+    key = F.lower(F.upper(T.trim_all(F.regexp_replace(F.col("__clean"), rf"{T.WS}+", " "))))
     return clean.withColumn("key", key).drop("__clean")
 
 
@@ -40,7 +40,7 @@ def keeper_order(holdout: Column) -> Column:
 def _keyed(df: DataFrame, near_ratio: float | None) -> DataFrame:
     """Pieces that can have duplicates, with key_hash and root: the smallest key hash that near links reach from their own."""
     rows = with_key(df).where("key <> ''").withColumn("key_hash", F.sha2("key", 256))
-    if near_ratio is None:
+    if near_ratio is None or near_ratio >= 1:
         return rows.withColumn("root", F.col("key_hash"))
     links = _near_rows(rows, near_ratio).select(F.sha2("left_key", 256).alias("a"), F.sha2("right_key", 256).alias("b"))
     roots = components(links).withColumnRenamed("node", "key_hash")

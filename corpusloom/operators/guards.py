@@ -11,21 +11,37 @@ PARROT, COVERAGE, COVERAGE_LIMIT, COVERAGE_TOKENS = 8, 5, 0.3, 40
 ECHO_LIMIT, ECHO_TOKENS = 0.6, 12
 #: Marks that only a prompt has.
 MARKERS = {
-    "brief_header": r"(?im)^\s*BRIEF\s*:", "block_separator": r"(?m)^\s*(?:-{3,}|\*{3,}|={3,}|—{2,})\s*$", "examples_header": r"(?im)^\s*EXAMPLES\b.*:",
-    "placeholder": r"\[[A-Z][A-Z0-9_ /-]{2,}\]|<[A-Z][A-Z0-9_ /-]{2,}>", "write_instruction": r"(?i)write the post now",
+    "placeholder": r"\[[A-Z][A-Z0-9_ /-]{2,}\]|<[A-Z][A-Z0-9_ /-]{2,}>", "examples_header": r"(?im)^\s*EXAMPLES\b.*:", "brief_header": r"(?im)^\s*BRIEF\s*:",
+    "write_instruction": r"(?i)write the post now", "block_separator": r"(?m)^\s*(?:-{3,}|\*{3,}|={3,}|—{2,})\s*$",
 }
+#: Fixed value: spans that may be names.
 ENTITY = r"\b(?:[A-Z]{2,}|[A-Z](?:&[A-Z])+|[A-Z][a-z][a-zA-Z0-9'-]*(?:\s+[A-Z][a-z][a-zA-Z0-9'-]*)*)\b"
 #: Capitalized words that are no names, in exemplars.
 PLAIN_CAPS = frozenset(
     "a an and as at but by for from here how i if in it its no not of on one or our so stop that the their these they this "
     "those to two three four five six seven eight nine ten we what when where why with you your".split()
 )
-#: Words that are no names in drafts: those above, common words, days, months, usual acronyms.
-ORDINARY = PLAIN_CAPS | T.COMMON_CAPS | frozenset(
-    "monday tuesday wednesday thursday friday saturday sunday january february march april june july august september october "
-    "november december ai api ceo cto faq hr it kpi ok pdf qa sql ui url usa ux brief examples topic points post half between "
-    "last during since don looking truth every keep the team people work time year day week today tomorrow yesterday".split()
-)
+#: Days, months and quarters; acronyms of no firm; words of our own prompts.
+CALENDAR = frozenset("monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december q1 q2 q3 q4".split())
+ACRONYMS = frozenset(
+    "ai api apis arr b2b b2c ceo cfo coo cto crm csv cv eu faq gdp hr ip it kpi kpis llm llms mba ml mrr mvp nps ok okr okrs pdf pm pr qa r&d rag roi rfp saas sdk seo sla smb "
+    "sms sql tam tl;dr tldr ui uk url us usa ux vc vp".split()
+)
+PROMPT_WORDS = frozenset("assistant brief briefs cadence constraint constraints entity examples filler lineation linkedin paragraph paragraphs response rhythm system topic user".split())
+#: Words that are no names in drafts, whatever the corpus; ordinary_words() adds what a corpus shows to be ordinary.
+ORDINARY = PLAIN_CAPS | CALENDAR | ACRONYMS | PROMPT_WORDS | T.COMMON_CAPS
+
+
+def ordinary_words(df: DataFrame, text: str, least: int = 2) -> DataFrame:
+    """(word): words that at least so many texts write in lower case, and more texts than write them capitalized within a sentence.
+
+    By this rule a word that only opens sentences is ordinary, and a name stays one. Counted over all texts.
+    """
+    words = lambda p: F.array_distinct(F.transform(F.regexp_extract_all(T.body(F.col(text)), F.lit(p), F.lit(1)), F.lower))
+    rows = df.select(words(r"(?<![A-Za-z0-9'-])([a-z][a-z0-9'-]*[a-z0-9])(?![A-Za-z0-9'-])").alias("low"), words(r"(?<=[a-z0-9,] )([A-Z][a-z][a-zA-Z0-9'-]*)").alias("cap"))
+    both = F.concat(F.transform("low", lambda w: F.struct(w.alias("word"), F.lit(1).alias("low"))), F.transform("cap", lambda w: F.struct(w.alias("word"), F.lit(0).alias("low"))))
+    n = rows.select(F.explode(both).alias("x")).groupBy("x.word").agg(F.sum("x.low").alias("low"), F.count(F.lit(1)).alias("all"))
+    return n.where(F.col("low") >= F.greatest(F.lit(least), F.col("all") - F.col("low"))).select("word")
 
 
 def scaffold_markers(draft: Column) -> Column:
@@ -143,3 +159,23 @@ def invented(brief: Column, draft: Column) -> Column:
     names = F.array_sort(F.array_except(claimed_names(draft), granted_names(brief)))
     figures = F.array_sort(F.array_except(evidence_figures(draft), evidence_figures(brief)))
     return F.struct(names.alias("names"), figures.alias("figures"), ((F.size(names) == 0) & (F.size(figures) == 0)).alias("passed"))
+
+
+def invented_names(rows: DataFrame, key: str, brief: str, draft: str, ordinary: DataFrame) -> DataFrame:
+    """(key, names): what drafts claim and briefs don't grant, words of ordinary(word) being no names. One row for every row.
+
+    Vocabulary of any size: claimed words meet it in a join, spans are put together again from the words that are left.
+    """
+    base = F.array(*map(F.lit, sorted(ORDINARY)))
+    spans = rows.select(key, F.posexplode(_spans(F.col(draft))).alias("span", "s")).select(key, "span", F.posexplode(F.split("s", " ")).alias("at", "word"))
+    left = spans.where(~F.array_contains(base, F.col("word"))).join(ordinary, "word", "left_anti")
+    left = left.groupBy(key, "span").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]).alias("w"))
+    claims = left.groupBy(key).agg(F.array_distinct(F.flatten(F.collect_list(F.concat(F.array(F.array_join("w", " ")), F.col("w"))))).alias("claimed"))
+    out = rows.select(key, granted_names(F.col(brief)).alias("granted")).join(claims, key, "left")
+    none = F.array().cast("array<string>")
+    return out.select(key, F.array_sort(F.array_except(F.coalesce("claimed", none), "granted")).alias("names"))
+
+
+def allowed_facts(brief: Column) -> Column:
+    """What a brief grants, sorted: names and figures."""
+    return F.struct(F.array_sort(granted_names(brief)).alias("entities"), F.array_sort(evidence_figures(brief)).alias("numbers"))

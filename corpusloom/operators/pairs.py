@@ -92,19 +92,6 @@ def chat_rows(system: Column, user: Column, assistant: Column) -> Column:
     return F.array(turn("system", system), turn("user", user), turn("assistant", assistant))
 
 
-def rewrite_flags(draft: Column, rewrite: Column) -> Column:
-    """unchanged, likely truncated, substance lost, new words."""
-    d, r = T.body(draft), T.body(rewrite)
-    long = lambda c: F.filter(T.word_set(c), lambda w: F.length(w) > 2)
-    ratio = F.length(r) / F.greatest(F.length(d), F.lit(1))
-    clean_end = T.trim_all(r).rlike("[.!?\"”)]$")
-    kept = F.size(F.array_intersect(long(d), long(r))) / F.greatest(F.size(long(d)), F.lit(1))
-    return F.struct(
-        (T.trim_all(d) == T.trim_all(r)).alias("unchanged"), ((ratio < 0.40) | ((ratio < 0.55) & ~clean_end)).alias("truncated"), (kept < 0.5).alias("substance_lost"),
-        F.size(F.array_except(long(r), long(d))).alias("new_words"),
-    )
-
-
 def longform(draft: Column, rewrite: Column) -> Column:
     d, r = T.word_set(draft), T.word_set(rewrite)
     ratio = T.word_count(rewrite) / F.greatest(T.word_count(draft), F.lit(1))

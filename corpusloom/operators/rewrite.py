@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import html
 import re
 from collections import Counter
@@ -97,21 +96,32 @@ def html_lines(text: str | None) -> str:
         return html.unescape(re.sub(r"<[^>]+>", " ", text or "")).strip()
 
 
-#: Phrases that go and the plain words that replace showy ones, in this order.
+BLANKS = r"[\t\x0b\f\x1c-\x1f\x{85}\p{Z}]"
+#: Sentences and phrases that go, the plain words that replace showy ones, and repairs of white space, in this order.
 TELLS = (
-    (r"(?i)\bin today['’]s (?:fast-paced )?(?:digital )?(?:world|landscape),?\s*", ""), (r"(?i)\bit is important to note that\s*", ""),
-    (r"(?i)\b(?:moreover|furthermore|additionally),?\s*", ""), (r"(?i)\bleverag(e|es)\b", "use"), (r"(?i)\bleveraging\b", "using"), (r"(?i)\bdelve into\b", "look at"),
-    (r"(?i)\brobust\b", "solid"), (r"(?i)\ba testament to\b", "proof of"), (r"(?i)\bunlock(?:ing)?\b", "open"), (r"(?i)\bsynerg(?:y|ies)\b", "fit"),
-    (r"(?i)\bcutting-edge\b", "new"), (r"(?i)\bseamless(?:ly)?\b", "smooth"),
+    (r"(?is)\b(?:moreover|furthermore|additionally)[, ]+[^.?!]{0,120}?(?:testament to(?:\s+vibrant)?|unlock(?:ing)?\s+nestled|leverage(?:\s+robust)?\s+synergies)[^.?!]*[.?!]\s*", ""),
+    (r"(?is)\bunlock(?:ing)?\s+nestled\s+opportunities\s+is\s+a\s+testament\s+to\s+vibrant\s+\w+[^.?!]*[.?!]\s*", ""),
+    (r"(?i)\bIn today's (?:fast-paced\s+)?(?:digital\s+)?(?:fast-paced\s+)?(?:digital\s+)?(?:world|landscape),?\s*", ""),
+    (r"(?i)\bIt is important to note that\s*", ""), (r"(?i)\bMoreover,\s*furthermore,?\s*", ""), (r"(?i)\bMoreover,\s*", ""), (r"(?i)\bFurthermore,\s*", ""),
+    (r"(?i)\bAdditionally,\s*", ""), (r"(?i)\bleverage(?:\s+robust)?\s+synergies\b", "make real connections"),
+    (r"(?i)\bunlock(?:ing)?\s+nestled\s+opportunities\b", "find real opportunities"), (r"(?i)\ba testament to\s+vibrant\s+\w+\b", ""),
+    (r"(?i)\ba testament to\s+", ""), (r"(?i)\bdelve into\b", "talk about"), (r"(?i)\butilize\b", "use"), (r"(?i)\bleverage\b", "use"), (r"(?i)\brobust\b", "real"),
+    (r"(?i)\bsynergies\b", "connections"), (r"(?i)\bsynergias\b", "connections"), (r"(?i)\bunlock(?:ing)?\b", "find"), (r"(?i)\bnestled\b", ""), (r"(?i)\bvibrant\b", ""),
+    (r"(?i)\bis\s+(?:innovation|excellence)\b", ""), (r"(?i)\bfind real opportunities\s+is\b", "find real opportunities"),
+    (BLANKS + "{2,}", " "), (r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n"), (T.WS + r"+([,.])", "$1"),
 )
 
 
+def first_raised(c: Column) -> Column:
+    return F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, F.lit(2), F.length(c)))
+
+
 def strip_tells(c: Column) -> Column:
-    """Natively: clauses out, words swapped, white space repaired, first letter raised; line breaks stay."""
+    """Natively: sentences and clauses out, words swapped, white space repaired, first letter raised; line breaks stay."""
+    c = T.body(c)
     for p, r in TELLS:
-        c = F.regexp_replace(T.body(c) if p == TELLS[0][0] else c, p, r)
-    c = T.trim_all(F.regexp_replace(F.regexp_replace(c, "[ \t]{2,}", " "), r"[ \t]+([,.;:!?])", "$1"))
-    return F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, F.lit(2), F.length(c)))
+        c = F.regexp_replace(c, p, r)
+    return first_raised(T.trim_all(F.regexp_replace(c, r"^[ \t,;]+|[ \t,;]+$", "")))
 
 
 def tokens(text: str) -> list[str]:
@@ -234,24 +244,13 @@ def devoiced(text: str, floor: float = 0.55, clause_words: int = 16) -> list[str
     return out
 
 
-def copied_share(text: str, source: str, n: int = 5) -> float:
-    t, r = tokens(text), tokens(source)
-    known = {tuple(r[i : i + n]) for i in range(len(r) - n + 1)}
-    if len(t) < n or not known:
-        return 0.0
-    inside: set[int] = set()
-    for i in range(len(t) - n + 1):
-        if tuple(t[i : i + n]) in known:
-            inside.update(range(i, i + n))
-    return round(len(inside) / len(t), 4)
-
-
 def overlap(brief: str, source: str) -> float:
     """Words of the brief, with multiplicity, over words of the source."""
     b, s = Counter(tokens(brief)), Counter(tokens(source))
     return sum(min(n, s[w]) for w, n in b.items()) / max(1, sum(s.values()))
 
 
+#: Words that end no phrase.
 DANGLING = frozenset("a an the and or but of to in on at by for from with as is was were are be than that which who when where if not no so".split())
 
 
@@ -304,27 +303,20 @@ def masked(text: str, keep: frozenset = frozenset()) -> str:
         return m[0] if key in keep or all(w in PLAIN_CAPS for w in words) else ""
 
     t = re.sub("(?:" + ENTITY + ")(?:['’]s\\b)?", lambda m: cut(m), text or "")
-    for p, r in ((r"[ \t]{2,}", " "), (r"[ \t]+([,.;:!?%)\]])", r"\1"), (r"([(\[#@])[ \t]+", r"\1"), (r"\(\s*\)|\[\s*\]", ""), (r"(?m)^[ \t]+|[ \t]+$", ""), (r"\n{3,}", "\n\n")):
+    return tidied(t)
+
+
+#: Repairs of a text from which names or sentences were cut, in this order.
+TIDY = (
+    (r"[ \t]{2,}", " "), (r"[ \t]+([,.;:!?%)\]])", r"\1"), (r"([(\[#@])[ \t]+", r"\1"), (r"\(\s*\)|\[\s*\]", ""), (r"(?m)^[ \t]+|[ \t]+$", ""),
+    (r"(?m)^[#@][#@ \t]*$\n?", ""), (r"(?m)^[-—–:,.!?][-—–:,.!? \t]*$\n?", ""), (r"\n{3,}", "\n\n"),
+)
+
+
+def tidied(t: str) -> str:
+    for p, r in TIDY:
         t = re.sub(p, r, t)
-    return t
-
-
-def training_examples(text: str, source: str, most: int = 280) -> list[tuple[str, str, str]]:
-    """(kind, draft, target) rows of a piece: chunks, each with a padded and a plain draft, plain ones repeated by source."""
-    parts = windows(normalize_text(text), most)
-    repeat = 5 if source == "linkedin_article" else 3
-    suffix = "_chunk" if len(parts) > 1 else ""
-    out = []
-    openers = ("It is important to note that ", "In today's world, ", "Moreover, ", "Furthermore, ")
-    for p in parts:
-        seed = int(hashlib.sha256(p.encode()).hexdigest()[:8], 16)
-        padded = openers[seed % len(openers)] + p[:1].lower() + p[1:]
-        out.append(("slop" + suffix, padded, p))
-        plain = "; ".join(devoiced(p)) or p
-        out += [("clean" + suffix, plain, p)] * repeat
-    if len(paragraphs(text)) > 1 and len(parts) <= 3:
-        out.append(("cadence", " ".join(paragraphs(text)), text.strip()))
-    return out
+    return t.strip()
 
 
 def source_sections(text: str, seq: int = 1024) -> list[str]:

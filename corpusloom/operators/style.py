@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.operators.rewrite import normalized
 
 POST_WORDS, ARTICLE_WORDS, CADENCE_SAMPLES = 80, 150, 3
 POST_CEILING, DEFAULT_POST, POST_FLOOR = 550, 500, 300
@@ -83,6 +84,50 @@ def style_card(df: DataFrame) -> DataFrame:
     return out.drop("__k")
 
 
+def article_cadence(df: DataFrame) -> DataFrame:
+    """One row on the cleaned texts of articles: cadence numbers, null under CADENCE_SAMPLES texts."""
+    rows = filled(normalized(df.where("source = 'linkedin_article'").select("text"), "text", "clean").select(F.col("clean").alias("text")))
+    parts = corpus_stats(rows).crossJoin(sentence_spread(rows)).crossJoin(multi_sentence_share(rows))  # one row each
+    enough = F.col("pieces") >= CADENCE_SAMPLES
+    names = ("sentence_words_p25", "sentence_words_p75", "median_sentence_words", "short_line_ratio", "multi_sentence_paragraph_ratio", "you_count", "i_count", "you_gt_i", "contraction_rate")
+    return parts.select(F.col("pieces").alias("article_cadence_samples"), *[F.when(enough, F.col(n)).alias("article_" + n) for n in names])
+
+
+def style_profile(df: DataFrame) -> DataFrame:
+    """The style card with the cadence of articles, in one row."""
+    return style_card(df).crossJoin(article_cadence(df))  # one row each
+
+
+#: Phrases that directives forbid.
+BANNED = ("leverage", "synergy", "delve", "robust", "moreover", "furthermore", "unlock", "testament", "in today's world", "it is important to note")
+
+
+def directives(profile: DataFrame, channel: str = "post", banned: tuple[str, ...] = BANNED) -> DataFrame:
+    """(pos, directive): a profile's numbers as lines of a prompt; what a profile doesn't have stays unsaid.
+
+    Articles use their own cadence if there are enough of them, and say nothing about total length.
+    """
+    article = F.lit(channel.strip().lower() == "article") & (F.coalesce("article_cadence_samples", F.lit(0)) >= CADENCE_SAMPLES)
+    v = lambda k: F.when(article, F.col("article_" + k)).otherwise(F.col(k))
+    low, high, med, short, multi = (F.coalesce(v(k).cast("double"), F.lit(0.0)) for k in ("sentence_words_p25", "sentence_words_p75", "median_sentence_words", "short_line_ratio", "multi_sentence_paragraph_ratio"))
+    you, i, lead, con = F.coalesce(v("you_count"), F.lit(0)), F.coalesce(v("i_count"), F.lit(0)), F.coalesce(v("you_gt_i"), F.lit(False)), F.coalesce(v("contraction_rate"), F.lit(0.0))
+    whole = lambda c: F.bround(c).cast("int").cast("string")
+    say = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    prose = article & (multi >= 0.15)
+    post = F.lit(channel.strip().lower() != "article") & (F.col("median_post_words") > 0)
+    target = length_policy(profile).select("post_target")
+    rows = profile.crossJoin(target)  # one row each
+    lines = F.array(
+        F.when((low > 0) & (high > low), say("Vary sentence length: most have ", whole(low), " to ", whole(high), " words.")).when(med > 0, say("Sentences have about ", whole(med), " words; vary them.")),
+        F.when(prose, say("Write prose: ", whole(multi * 100), "% of paragraphs hold several sentences.")).when(short > 0, say("Use short lines: ", whole(short * 100), "% have eight words or fewer.")),
+        F.when(prose & (short >= 0.55), say("Short lines are for emphasis only, though ", whole(short * 100), "% have eight words or fewer.")).when(~prose & (multi > 0), say("Not only single lines: ", whole(multi * 100), "% of paragraphs hold several sentences.")),
+        F.when(post, say("Aim at ", whole(F.col("median_post_words")), " words and stop by ", F.col("post_target").cast("string"), ".")),
+        F.when(article & (you > 0) & (i > 0), "Say I for experience and you for instructions.").when((you + i > 0) & lead, "Say you more often than I.").when(you + i > 0, "Say I more often than you."),
+        F.when(con > 0.01, "Use contractions."), F.lit("Never use: " + ", ".join(banned[:12]) + ".") if banned else F.lit(None),
+    )
+    return rows.select(F.posexplode(F.array_compact(lines)).alias("pos", "directive"))
+
+
 def audit_quantiles(values: DataFrame, value: str) -> DataFrame:
     """Another definition, for audits: the upper median, the value at int(0.9 n), the greatest; null if empty."""
     counts = values.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("__n"))
@@ -107,12 +152,12 @@ def length_policy(card: DataFrame) -> DataFrame:
     return card.select(
         aim.alias("article_aim"), target.alias("article_target"), hint.alias("section_hint"), section.alias("section_words"),
         post("post_words_p90", "post_words_p75", "median_post_words").alias("post_target"),
-        post("post_words_p75", "post_words_p90", "median_post_words").alias("post_aim"),
+        F.least(post("post_words_p90", "post_words_p75", "median_post_words"), post("post_words_p75", "post_words_p90", "median_post_words")).alias("post_aim"),
     )
 
 
-def scorecard(text: Column, channel: Column) -> Column:
-    """Names per thousand words against the channel's floor; short texts without a channel count as posts."""
+def scorecard(text: Column, channel: Column, proper_floor: float | None = None) -> Column:
+    """Names per thousand words against the channel's floor or a given one; short texts without a channel count as posts."""
     t = T.trim_all(T.body(text))
     n, names = F.size(T.words(t)), F.size(T.name_spans(t))
     ch = F.lower(F.coalesce(channel, F.lit("")))
@@ -120,5 +165,6 @@ def scorecard(text: Column, channel: Column) -> Column:
         F.when(ch.isin("linkedin", "post", "posts", "li", "short"), 20.0).when(ch.isin("article", "articles", "longform", "long"), 42.0)
         .when(n < 500, 20.0).otherwise(42.0)
     )
+    floor = floor if proper_floor is None else F.lit(float(proper_floor))
     rate = F.round(T.per_thousand(names, n), 2)
     return F.struct(n.alias("words"), names.alias("proper_nouns"), rate.alias("proper_per_1k"), floor.alias("floor"), (rate >= floor).alias("pass"))

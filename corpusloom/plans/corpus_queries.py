@@ -157,7 +157,9 @@ def source_guess(spark, d):
     return pieces(spark, d).select("path").where("path is not null").distinct().select("path", corpus.guess_source(F.col("path")).alias("guess"))
 
 
-@query()
+@query(f"""with l as (select line_id, '{{"id":"' || line_id || '",' || substr(trim(line), 2) as j from index_lines), v as (select line_id, json(j) as j from l where json_valid(j)),
+    p as (select line_id as id, coalesce(j->>'$.source', 'doc') as source, j->>'$.date' as date, coalesce(j->>'$.text', '') as text from v)
+    select id, source, date, try_cast(regexp_extract(date,'^([0-9]{{4}})',1) as int) as year, {S.count('text', S.NOT_WS + '+')} as word_count from p""")
 def index_scan(spark, d):
     """Index lines decoded leniently; broken lines drop out."""
     lines = table(spark, d, "index_lines").select(F.concat(F.lit('{"id":"'), "line_id", F.lit('",'), F.substring(F.trim("line"), F.lit(2), F.length("line"))).alias("line"))
@@ -246,12 +248,18 @@ def article_length_stats(spark, d):
     return style.length_stats(pieces(spark, d), "article")
 
 
-@query()
+@query("select * from " + ", ".join(f"({ORACLE[k]})" for k in ("corpus_style_stats", "post_length_stats", "article_length_stats", "sentence_length_spread", "multi_sentence_paragraph_ratio")))
 def style_card(spark, d):
     return style.style_card(pieces(spark, d))
 
 
-@query()
+@query(f"""with c as ({ORACLE['style_card']}), v as (select nullif(median_article_words,0) as am, nullif(article_words_p75,0) as a75, nullif(article_words_p90,0) as a90, nullif(median_post_words,0) as pm,
+    nullif(post_words_p75,0) as p75, nullif(post_words_p90,0) as p90 from c),
+    a as (select *, coalesce(least(3000, greatest(600, round_even(coalesce(am,a75,a90),0)))::int, 1100) as aim, coalesce(a90,a75,am) as long from v),
+    t as (select *, case when long is null then greatest(aim,1100) else least(3000, greatest(aim, round_even(long,0)::int)) end as target, least(8, greatest(2, round_even(aim/300::double,0)))::int as hint from a),
+    p as (select *, coalesce(least(550, greatest(300, round_even(coalesce(p90,p75,pm),0)))::int, 500) as pt from t)
+    select aim as article_aim, target as article_target, hint as section_hint, least(600, greatest(180, round_even(aim/hint::double,0)))::int as section_words, pt as post_target,
+    least(pt, coalesce(least(550, greatest(300, round_even(coalesce(p75,p90,pm),0)))::int, 500)) as post_aim from p""")
 def length_policy(spark, d):
     return style.length_policy(style.style_card(pieces(spark, d)))
 
@@ -264,7 +272,9 @@ def pair_audit_quantiles(spark, d):
     return style.audit_quantiles(table(spark, d, "pairs").select(F.size(T.words(F.col("output"))).alias("n")), "n")
 
 
-@query()
+@query(f"""with a as {S.axes("pieces", "id", "text")}, s as (select id, words, names as proper_nouns, proper_per_1k, case source when 'linkedin_article' then 42.0::double when 'linkedin_post' then 20.0::double
+    else (case when words < 500 then 20.0::double else 42.0::double end) end as floor from a join (select id, source from pieces) p using (id))
+    select id, words, proper_nouns, proper_per_1k, floor, proper_per_1k >= floor as pass from s""")
 def specificity_scorecard(spark, d):
     c = F.when(F.col("source") == "linkedin_article", "article").when(F.col("source") == "linkedin_post", "post")
     return pieces(spark, d).select("id", style.scorecard(F.col("text"), c).alias("s")).select("id", "s.*")
@@ -281,11 +291,35 @@ def same_text_groups(spark, d):
     return g.where("members > 1")
 
 
-@query()
+KEYED = f"k as materialized (select id, source, date, title, meta, {S.duplicate_key('text')} as key from pieces), r as (select * from k where key <> '')"
+_RANK = "coalesce(list_position(['linkedin_article','linkedin_post','linkedin_comment'], source), 4)"
+_BEST = (
+    f"row_number() over (partition by key order by {_RANK}, case when coalesce(date,'') <> '' then 0 else 1 end, -length(key), -length({S.trim_all(S.body('title'))}), -coalesce(cardinality(meta)::int, 0), id)"
+)
+GROUPED = f"with {KEYED}, o as (select *, {_BEST} as place, count(*) over (partition by key) as members from r)"
+
+
+@query(f"{GROUPED} select sha256(key) as key_hash, id as keeper, members, 0::bigint as holdouts from o where place = 1 and members > 1")
 def exact_dup_groups(spark, d):
     return dedupe.exact_groups(pieces(spark, d))
 
 
+@query(f"{GROUPED} select p.id as id from pieces p left join o on o.id = p.id where coalesce(o.place, 1) = 1")
+def dedupe_exact_keepers(spark, d):
+    """What dedupe keeps when only equal keys count, as a near ratio of 1 asks for."""
+    return dedupe.deduped(pieces(spark, d), near_ratio=1.0).select("id")
+
+
+@query(
+    f"""{GROUPED}, g as (select key, max(members) as members, min(coalesce(source,'')) <> max(coalesce(source,'')) as cross_source from o where members > 1 group by key),
+    b as (select coalesce(source,'') as s, count(*) as n from o where place > 1 group by 1)
+    select (select count(*) from g) as groups, (select count(*) from g) as exact_groups, 0::bigint as near_groups, (select coalesce(sum(members-1),0)::bigint from g) as dropped,
+    (select count(*) from g where cross_source) as cross_source, (select map_from_entries(list((s, n) order by s)) from b) as dropped_by_source"""
+)
+def dedupe_exact_report(spark, d):
+    return dedupe.report(pieces(spark, d), near_ratio=1.0)
+
+
 @query()
 def dedupe_keepers(spark, d):
     return dedupe.deduped(pieces(spark, d), near_ratio=dedupe.NEAR_RATIO).select("id")
@@ -301,22 +335,25 @@ def near_dup_links(spark, d):
     return dedupe.near_links(pieces(spark, d))
 
 
-@query()
+@query(f"with n as (select id, {S.normalized('text')} as c from pieces) select id, {S.count('c', S.NOT_WS + '+')} as words, md5(c) as clean from n")
 def normalize_pages(spark, d):
     return rewrite.normalized(pieces(spark, d).select("id", "text"), "text", "clean").select("id", T.word_count(F.col("clean")).alias("words"), F.md5("clean").alias("clean"))
 
 
-@query()
+@query(f"""select article_id, md5(array_to_string(list_filter(list_transform(string_split(replace(regexp_replace(coalesce("Content",''), '</?[a-zA-Z][^>]*>', chr(2), 'g'), '<', chr(2)||'<'||chr(2)), chr(2)), lambda s: {S.trim_all('s')}), lambda s: s <> ''), chr(10))) as text from li_articles""")
 def html_ingest_text(spark, d):
     a = table(spark, d, "li_articles")
     return a.select("article_id", F.md5(rewrite.by_text(rewrite.html_lines, "string")(F.col("Content"))).alias("text"))
 
 
-@query()
+@query(f"""with t as (select id, {S.trim_all(S.body('text'))} as t from pieces), h as (select id, t, t[1:280] as h from t),
+    c as (select *, length(h) - strpos(reverse(h), chr(10)||chr(10)) - 1 as two, length(h) - strpos(reverse(h), chr(10)) as one, length(h) - strpos(reverse(h), ' ') as gap from h)
+    select id, case when length(t) <= 280 then t else {S.trim_all("t[1:(case when contains(h, chr(10)||chr(10)) and two >= 93 then two when contains(h, chr(10)) and one >= 93 then one when contains(h, ' ') and gap >= 93 then gap else 280 end)]")} || '…' end as cut from c""")
 def truncate_at_break(spark, d):
     return pieces(spark, d).select("id", corpus.truncate_at(F.col("text"), 280).alias("cut"))
 
 
-@query()
+@query(f"""with t as (select id, {S.trim_all(S.body('text'))} as t from pieces)
+    select id, case when {S.count('t', S.NOT_WS + '+')} <= 60 then t else regexp_extract(t, '^((?:{S.NOT_WS}+{S.WS}+){{59}}{S.NOT_WS}+)', 1) end as clip from t""")
 def clip_words(spark, d):
     return pieces(spark, d).select("id", corpus.clip_words(F.col("text"), 60).alias("clip"))

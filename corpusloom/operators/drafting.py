@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.operators import corpus, guards, retrieve, rewrite
 from corpusloom.operators.evaluate import Generate, generated  # noqa: F401
-from corpusloom.runtime import written
+from corpusloom.runtime import settled, written
 
 #: Floors, budgets and factors.
 MIN_ARTICLES, MIN_SECTIONS, MAX_SECTIONS = 5, 2, 8
@@ -96,19 +96,19 @@ def word_budget(topic: Column, points: Column, base: Column) -> Column:
     )
 
 
-def scrubbed(brief: Column, draft: Column, passes: int = 3) -> Column:
-    """The draft without the sentences that hold names or figures the brief doesn't grant; lines stay lines, empty if nothing is left."""
-
-    def once(t: Column) -> Column:
-        parts = lambda line: F.filter(F.split(F.regexp_replace(line, r"([.!?])\s+", "$1\u0001"), "\u0001"), lambda s: T.trim_all(s) != "")
-        granted = lambda s: guards.invented(brief, sentence_case(s))["passed"]
-        kept = F.array_join(F.transform(F.split(t, T.LINE_END), lambda line: T.trim_all(F.array_join(F.filter(parts(line), granted), " "))), "\n")
-        return F.when(guards.invented(brief, sentence_case(t))["passed"], t).otherwise(kept)
-
-    out = T.body(draft)
+def scrubbed(df: DataFrame, brief: str, draft: str, passes: int = 3) -> DataFrame:
+    """df whose draft has lost the sentences that hold names or figures the brief doesn't grant; lines stay lines, empty if nothing is left."""
+    b, d = F.col(brief), F.col(draft)
+    parts = lambda line: F.filter(F.split(F.regexp_replace(line, r"([.!?])\s+", "$1\u0001"), "\u0001"), lambda s: T.trim_all(s) != "")
+    df = settled(df, draft, T.body(d))
     for _ in range(passes):
-        out = T.let(out, once)
-    return rewrite.by_text(rewrite.tidied, "string")(out)
+        rows = settled(df, "__lines", F.transform(F.split(d, T.LINE_END), parts))
+        # each sentence once, then whether the brief grants it
+        rows = settled(rows, "__ok", F.transform("__lines", lambda ss: F.transform(ss, lambda s: guards.invented(b, sentence_case(s))["passed"])))
+        kept = F.zip_with("__lines", "__ok", lambda ss, ok: T.trim_all(F.array_join(F.filter(F.zip_with(ss, ok, lambda s, k: F.when(k, s)), lambda s: s.isNotNull()), " ")))
+        whole = guards.invented(b, sentence_case(d))["passed"]
+        df = settled(rows, draft, F.when(whole, d).otherwise(F.array_join(kept, "\n"))).drop("__lines", "__ok")
+    return settled(df, draft, rewrite.tidy(d))
 
 
 def flags(brief: Column, draft: Column, exemplar: Column) -> Column:
@@ -151,7 +151,7 @@ def write_article(briefs: DataFrame, make, base_words: int, exemplars: DataFrame
     half = F.greatest(F.lit(THIN_FLOOR), F.floor(F.col("aim") / 2)).cast("int")
     remove = F.concat(F.lit("\nLeave out: "), F.array_join(F.concat(F.col("f.names"), F.col("f.figures")), ", "), F.lit("\nAt most words: "), half)
     two = attempt(one.where(~good).withColumn("again", F.concat(ask, remove)).drop("draft").select("*").withColumn("old", F.col("f")).drop("f"), F.col("again"), half, 2)
-    cut = two.where(~good & F.col("f.invented")).withColumn("draft", scrubbed(F.col("brief"), F.col("draft"))).drop("f")
+    cut = scrubbed(two.where(~good & F.col("f.invented")).drop("f"), "brief", "draft")
     cut = written(cut.withColumn("f", F.explode(F.array(flags(F.col("brief"), F.col("draft"), F.col("exemplar"))))), "sections-3")
     cols = ("holdout_id", "pos", "brief", "exemplar", "draft", "status")
     parts = one.where(good).withColumn("status", F.lit("clean")).select(*cols)

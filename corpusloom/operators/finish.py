@@ -10,12 +10,13 @@ import re
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators import guards
 from corpusloom.operators.rewrite import BLANKS, by_text, first_raised, strip_tells
+from corpusloom.runtime import settled
 
 #: Limits of the classifiers and guards.
 LONG, PUNCHY, TINY = 1600, 140, 28
@@ -256,13 +257,17 @@ def restore_openers(draft: Column, rewrite: Column) -> Column:
     return F.pandas_udf(lambda a, b: pd.Series([with_openers(x, y) for x, y in zip(a, b)], dtype=object), "string")(draft, rewrite)
 
 
-def finalize(draft: Column, raw: Column, similarity: bool = False, substance: bool = False, truncation: bool = True, novelty: bool = False) -> Column:
-    """The whole chain from what a model said to a finished rewrite."""
-    out = by_text(collapsed, "string")(strip_tells(by_text(extracted, "string")(raw)))
-    out = in_paragraphs(draft, out)
+def finalized(
+    df: DataFrame, draft: str, raw: str, out: str, similarity: bool = False, substance: bool = False, truncation: bool = True, novelty: bool = False
+) -> DataFrame:
+    """df with the finished rewrite of what a model said about its draft: the whole chain, one stage after the other."""
+    d, o = F.col(draft), F.col(out)
+    df = settled(df, out, by_text(extracted, "string")(F.col(raw)))
+    df = settled(df, out, by_text(collapsed, "string")(strip_tells(o)))
+    df = settled(df, out, in_paragraphs(d, o))
     for on, guard in ((similarity, similarity_guard), (substance, substance_guard), (truncation, truncation_guard), (novelty, novelty_guard)):
-        out = guard(draft, out) if on else out
-    return restore_openers(draft, strip_openers(out))
+        df = settled(df, out, guard(d, o)) if on else df
+    return settled(settled(df, out, strip_openers(o)), out, restore_openers(d, o))
 
 
 def quality_flags(draft: Column, rewrite: Column) -> Column:

@@ -313,6 +313,13 @@ TIDY = (
 )
 
 
+def tidy(c: Column) -> Column:
+    """tidied() natively."""
+    for p, r in TIDY:
+        c = F.regexp_replace(c, p.replace("(?m)", "(?md)"), r.replace("\\1", "$1"))
+    return T.trim_all(c)
+
+
 def tidied(t: str) -> str:
     for p, r in TIDY:
         t = re.sub(p, r, t)

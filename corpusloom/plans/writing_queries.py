@@ -151,7 +151,7 @@ def finalize_rewrites(spark, d):
     """The whole chain over outputs as if a model had said them: wrapped in thinking and the prompt's headers."""
     raw = F.concat(F.lit("Steps first.</think>\n### Rewritten\n"), T.body(F.col("output")), F.lit("\n### Draft\nagain"))
     rows = distinct_pairs(spark, d).withColumn("raw", raw)
-    return rows.select("pos", F.md5(finish.finalize(F.col("input"), F.col("raw"), similarity=True, substance=True)).alias("final"))
+    return finish.finalized(rows, "input", "raw", "final", similarity=True, substance=True).select("pos", F.md5("final").alias("final"))
 
 
 @query()
@@ -203,7 +203,7 @@ def allowed_facts(spark, d):
 
 @query()
 def scrubbed_drafts(spark, d):
-    return distinct_pairs(spark, d).select("pos", F.md5(drafting.scrubbed(F.col("input"), F.col("output"))).alias("scrubbed"))
+    return drafting.scrubbed(distinct_pairs(spark, d), "input", "output").select("pos", F.md5("output").alias("scrubbed"))
 
 
 @query()

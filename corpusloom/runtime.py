@@ -50,10 +50,16 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"corpusloom-{name}-{uuid.uuid4().hex}")
 
 
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path as it knows it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether there is a file or folder, asked of the file system that the path names."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    fs, p = file_system(spark, path)
+    return fs.exists(p)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -63,6 +69,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once: a generator stands between it and whatever uses it."""
+    return df.select(*[c for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
+
+
 def checked_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     """A broadcast hint if the side has at most max_rows rows; else df as it is, so that Spark shuffles.
 

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import hashlib
-import os
-import re
+import io
 import zipfile
-from pathlib import Path
+from collections.abc import Iterator
+from pathlib import PurePosixPath
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators import corpus, pairs, rewrite
+from corpusloom.runtime import file_system, path_exists, shared_dir
 from corpusloom.schema import PIECE, lenient
 
 SUFFIXES = ("txt", "md", "markdown", "rst", "eml", "html", "htm", "org", "text")
@@ -25,7 +27,7 @@ ALIASES = {
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """Pieces of a JSON-lines file; none if there is no file."""
-    if "://" not in path and not os.path.exists(path):
+    if not path_exists(spark, path):
         return spark.createDataFrame([], PIECE)
     return lenient(spark.read.text(path), "value")
 
@@ -42,26 +44,26 @@ def resolve_columns(names: list[str], fields: list[str]) -> list[Column]:
     return out
 
 
-def sniff(path: str) -> tuple[str, str]:
-    """Encoding and separator of a file by its first 64 kB."""
-    raw = Path(path).open("rb").read(65536)
-    for enc in ("utf-8-sig", "utf-8", "latin-1"):
-        try:
-            head = raw.decode(enc).split("\n", 1)[0]
-            break
-        except UnicodeDecodeError:
-            continue
-    return ("latin1" if enc == "latin-1" else "utf-8"), max(",\t;", key=head.count)
+def sniff(raw: bytes) -> tuple[str, str]:
+    """Encoding and separator of a file: UTF-8 if all of it is, else Latin-1; the commonest separator of its first line."""
+    try:
+        head, enc = raw.decode("utf-8-sig"), "utf-8"
+    except UnicodeDecodeError:
+        head, enc = raw.decode("latin-1"), "latin1"
+    head = head.split("\n", 1)[0]
+    return enc, max(",\t;", key=head.count)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    enc, sep = sniff(path)
+    """A delimited file of any file system; its bytes are looked at where they are read, not on the driver."""
+    look = F.pandas_udf(lambda s: pd.DataFrame([sniff(bytes(x)) for x in s], columns=["enc", "sep"]), "struct<enc:string,sep:string>")
+    enc, sep = spark.read.format("binaryFile").load(path).select(look("content").alias("x")).select("x.*").first()
     return spark.read.options(header=True, multiLine=True, sep=sep, encoding=enc, quote='"', escape='"', mode="PERMISSIVE").csv(path)
 
 
 def export_kind(path: str) -> str | None:
     """share before comment before article, by the stem or the folder."""
-    p = Path(path)
+    p = PurePosixPath(path)
     stem = p.stem.lower()
     for k in ("share", "comment", "article"):
         if k in stem or (k == "article" and p.parent.name.lower().startswith("article")):
@@ -70,37 +72,47 @@ def export_kind(path: str) -> str | None:
 
 
 def read_export(spark: SparkSession, folder: str) -> DataFrame:
-    """Pieces of a network export folder or zip."""
-    root = Path(unzipped(folder) if folder.endswith(".zip") else folder)
+    """Pieces of a network export folder or zip, of any file system."""
+    root = unzipped(spark, folder) if folder.endswith(".zip") else folder
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(root).select("path").orderBy("path").collect()
     need = {"share": ["ShareCommentary", "Date", "ShareLink"], "comment": ["Message", "Date"], "article": ["Title", "Content", "Date"]}
     got: dict[str, DataFrame] = {}
-    for f in sorted(root.rglob("*.csv")):
-        if k := export_kind(str(f)):
-            t = read_table(spark, str(f))
+    for (f,) in files:  # a few files, their names only
+        if k := export_kind(f):
+            t = read_table(spark, f)
             t = t.select(*resolve_columns(t.columns, need[k]))
             got[k] = got[k].unionByName(t) if k in got else t
     empty = lambda k: spark.createDataFrame([], ", ".join(f"{c} string" for c in need[k]))
     return corpus.export_pieces(*[got.get(k) if k in got else empty(k) for k in need])
 
 
-def unzipped(path: str, cache: str | None = None) -> str:
-    """Unpack once into a folder named by path and time of change; a marker shows that it is whole. Members that leave the folder fail."""
-    name = hashlib.sha256(f"{path}|{os.path.getmtime(path)}".encode()).hexdigest()[:16]
-    out = Path(cache or Path(path).parent / ".unpacked") / name
-    if not (out / ".done").exists():
-        with zipfile.ZipFile(path) as z:
+def unzipped(spark: SparkSession, path: str, cache: str | None = None) -> str:
+    """Unpack once into the shared folder, under a name made of path and time of change; a marker shows that it is whole.
+
+    Members that leave the folder fail. A zip of up to 2 GB, the most that one value may hold.
+    """
+    raw = spark.read.format("binaryFile").load(path)
+    changed = raw.select(F.col("modificationTime").cast("string")).first()[0]
+    out = f"{cache or shared_dir(spark) + '/unpacked'}/{hashlib.sha256(f'{path}|{changed}'.encode()).hexdigest()[:16]}"
+    if not path_exists(spark, f"{out}/.done"):
+        with zipfile.ZipFile(io.BytesIO(bytes(raw.select("content").first()[0]))) as z:
             for m in z.namelist():
-                if not (out / m).resolve().is_relative_to(out.resolve()):
+                if m.startswith("/") or ".." in m.split("/"):
                     raise ValueError(f"{m} leaves the folder")
-            z.extractall(out)
-        (out / ".done").touch()
-    return str(out)
+            for m in [*z.namelist(), None]:
+                if m is None or not m.endswith("/"):
+                    fs, p = file_system(spark, f"{out}/{m or '.done'}")
+                    stream = fs.create(p, True)
+                    stream.write(bytearray(z.read(m) if m else b""))
+                    stream.close()
+    return out
 
 
 def read_documents(spark: SparkSession, path: str, recursive: bool = True, hint: str | None = None) -> DataFrame:
     """Pieces of local files, one each; a single file is read whatever its suffix."""
     reader = spark.read.option("recursiveFileLookup", recursive)
-    if not os.path.isfile(path.removeprefix("file://")):
+    fs, p = file_system(spark, path)
+    if not (fs.exists(p) and fs.getFileStatus(p).isFile()):
         reader = reader.option("pathGlobFilter", f"*.{{{','.join(SUFFIXES)}}}")
     raw = reader.format("binaryFile").load(path)
     where = F.col("path")
@@ -119,15 +131,31 @@ def read_documents(spark: SparkSession, path: str, recursive: bool = True, hint:
         T.stable_id(F.lit("local"), F.col("path"), F.substring(clean, 1, corpus.ID_FILE_TEXT)).alias("id"),
         corpus.guess_source(F.col("path"), F.lit(hint) if hint else None).alias("source"), clean.alias("text"), "path", F.date_format(day, "yyyy-MM-dd").alias("date"),
         F.year(day).alias("year"), T.word_count(clean).alias("word_count"), "title", F.create_map().cast("map<string,string>").alias("meta"),
-    ).where("text <> ''").orderBy("path")
+    ).where("text <> ''")
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(pos, raw) of every line of a text file from 0 on, read in splits: a number is its place in the split and the lines before the split."""
+    rows = spark.read.text(path).select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("own"), F.col("value").alias("raw"))
+    sizes = {r[0]: r[1] for r in rows.groupBy("part").agg(F.count(F.lit(1))).collect()}  # one row per split
+    before, total = [], 0
+    for p in range(max(sizes, default=-1) + 1):
+        before.append(total)
+        total += sizes.get(p, 0)
+    start = F.get(F.array(*map(F.lit, before or [0])).cast("array<bigint>"), F.col("part"))
+    return rows.select((start + F.col("own").bitwiseAND(F.lit((1 << 33) - 1))).alias("pos"), "raw")
 
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
-    """(pos, input, output, raw) of a pair file; a line without a pair fails with its number."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("pos", "raw")).where(F.trim("raw") != "")
+    """(pos, input, output, raw) of a pair file; a line that is no object, or holds no pair, fails with its number."""
+    lines = numbered_lines(spark, path).where(F.trim("raw") != "")
     i, o = pairs.pair_texts(F.col("raw"))
-    bad = F.raise_error(F.concat(F.lit("no pair in line "), (F.col("pos") + 1).cast("string")))
-    return lines.select(F.col("pos").cast("bigint"), F.when(i.isNull() | o.isNull(), bad).otherwise(i).alias("input"), o.alias("output"), "raw")
+    line = (F.col("pos") + 1).cast("string")
+    kind = F.schema_of_variant(F.try_parse_json("raw"))
+    none = F.raise_error(F.concat(F.lit("no object in line "), line))
+    bad = F.raise_error(F.concat(F.lit("no pair in line "), line))
+    first = F.when(~F.coalesce(kind.startswith("OBJECT"), F.lit(False)), none).when(i.isNull() | o.isNull(), bad).otherwise(i)
+    return lines.select("pos", first.alias("input"), o.alias("output"), "raw")
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -137,5 +165,13 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     return v.select(F.explode(ids).alias("id"))
 
 
-def slug(name: str) -> str:
-    return re.sub(r"[^a-z0-9]+", "-", name.lower()).strip("-")
+def iter_index(spark: SparkSession, path: str) -> Iterator[Row]:
+    """Pieces of an index file one by one; the driver holds one partition at a time."""
+    return read_index(spark, path).toLocalIterator()
+
+
+def read_draft(spark: SparkSession, text: str | None = None, path: str | None = None) -> str:
+    """A draft given as text or as a file; exactly one of the two."""
+    if (text is None) == (path is None):
+        raise ValueError("give a text or a file")
+    return text if path is None else spark.read.text(path, wholetext=True).first()[0]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators import corpus
+from corpusloom.runtime import path_exists
 
 
 def read_drops(spark: SparkSession, folder: str, schema: str, fmt: str = "parquet", files: int = 100) -> DataFrame:
@@ -17,10 +18,7 @@ def start_append(stream: DataFrame, index: str, checkpoint: str, key: str = "id"
 
     def add(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        try:
-            known = spark.read.parquet(index).select(key)
-        except Exception:
-            known = batch.select(key).limit(0)
+        known = spark.read.parquet(index).select(key) if path_exists(spark, index) else batch.select(key).limit(0)
         corpus.new_rows(known, batch, key).write.mode("append").parquet(index)
 
     w = stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)

@@ -196,6 +196,112 @@ def test_sources_and_sinks(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "idx")).collect()) == ["1", "2", "9"]
 
 
+def test_sinks_by_uri_and_after_a_crash(spark, tmp_path):
+    b = spark.createDataFrame([("1", 1), ("2", 2), ("2", 3)], "id string, pos int")
+    uri = "file://" + str(tmp_path / "idx")
+    assert [writers.append_new(uri, b), writers.append_new(uri, b)] == [2, 0] and spark.read.parquet(uri).count() == 2
+    writers.swap(spark.read.parquet(uri).where("id = '1'"), uri, "parquet", backup=True)
+    assert spark.read.parquet(uri).count() == 1
+    (tmp_path / "idx").rename(tmp_path / "gone")  # as if the second rename had not come
+    assert spark.read.parquet(writers.recovered(spark, uri)).count() == 2
+    assert writers.run_ingest(spark, str(tmp_path / "i2"), str(tmp_path / "reg"), {("csv", "a"): b.drop("pos"), ("doc", "b"): b.drop("pos")}) == (2, 6)
+    assert writers.register(spark, str(tmp_path / "reg"), "csv", "a") == 0
+    with pytest.raises(Exception):  # a broken index isn't an empty one
+        (tmp_path / "bad").mkdir()
+        (tmp_path / "bad" / "x.parquet").write_text("no")
+        writers.append_new(str(tmp_path / "bad"), b)
+    pieces = spark.createDataFrame([("b", "doc", "same text", None), ("a", "doc", "Same  text", None), ("c", "doc", "", None)], "id string, source string, text string, title string")
+    pieces = pieces.selectExpr("*", "null as date", "map() as meta").withColumn("date", F.col("date").cast("string")).withColumn("meta", F.create_map().cast("map<string,string>"))
+    writers.build_vector_index(pieces, uri + "-v", spark.createDataFrame([("b",)], "id string"))
+    assert [r.id for r in writers.load_vector_index(spark, uri + "-v").collect()] == ["a"]
+    pieces.write.parquet(uri + "-d")
+    assert writers.apply_dedupe(spark, uri + "-d", near_ratio=1.0).head()["dropped"] == 1
+    assert sorted(r.id for r in spark.read.parquet(uri + "-d").collect()) == ["a", "c"]
+
+
+def test_readers_of_odd_files(spark, tmp_path):
+    head = "ShareCommentary,Date,ShareLink\n"
+    cut = head + "x" * (65535 - len(head)) + "é,2023-04-01,http://x\n"
+    (tmp_path / "Shares.csv").write_bytes(cut.encode())
+    assert readers.sniff(cut.encode()) == ("utf-8", ",") and readers.sniff("a;b\né".encode("latin-1")) == ("latin1", ";")
+    assert "é" in readers.read_export(spark, "file://" + str(tmp_path)).head()["text"]
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "e.zip", "w") as z:
+        z.write(tmp_path / "Shares.csv", "in/Shares.csv")
+    assert readers.read_export(spark, str(tmp_path / "e.zip")).count() == 1
+    lines = [f'{{"input":"i{n}","output":"o{n}"}}' for n in range(3000)]
+    lines[5] = ""
+    (tmp_path / "p.jsonl").write_text("\n".join(lines))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    got = readers.read_pairs(spark, str(tmp_path / "p.jsonl"))
+    assert got.rdd.getNumPartitions() > 2 and sorted((r.pos, r.input) for r in got.collect()) == [(n, f"i{n}") for n in range(3000) if n != 5]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    for bad, why in (("[1]", "no object in line 2"), ('{"x":1}', "no pair in line 2")):
+        (tmp_path / "q.jsonl").write_text('{"input":"a","output":"b"}\n' + bad)
+        with pytest.raises(Exception, match=why):
+            readers.read_pairs(spark, str(tmp_path / "q.jsonl")).collect()
+    (tmp_path / "h.json").write_text('{"holdout_ids": ["a", "b"]}')
+    assert sorted(r.id for r in readers.read_ids(spark, str(tmp_path / "h.json")).collect()) == ["a", "b"]
+
+
+def test_finishing(spark):
+    from corpusloom.operators import drafting, finish, training
+    from corpusloom.sources import samples
+
+    c = F.col("text")
+    kinds = {r.name: (r.a, r.b) for r in samples.drafts(spark).select("name", finish.sloppy(c).alias("a"), finish.soulless(c).alias("b")).collect()}
+    assert kinds["slop_ledger"][0] and not kinds["clean_ledger"][0]
+    assert one(spark, rewrite.strip_tells(F.col("t")), t="We delve into robust plans,  and utilize it .") == "We talk about real plans, and use it."
+    assert finish.extracted("Hm.</think>\n### Rewritten\nShort text.\n### Draft\nx") == "Short text." and finish.extracted(None) == ""
+    assert finish.collapsed("\n\n".join(["a b", "c d"] * 4)) == "a b\n\nc d" and finish.collapsed("a\n\nb") == "a\n\nb"
+    draft = 'Last time I said it was late. Now it is.'
+    assert finish.with_openers(draft, "Now it is.") == "Last time I said it was late. Now it is." and finish.with_openers("", "x") == "x"
+    assert finish.with_openers('"Fast is slow."\n\nBody one.', "Body one.").startswith('"Fast is slow."')
+    assert one(spark, finish.paragraphize(F.col("t")), t="This is a sentence of some length. Short one. And this is another longer sentence here.") == (
+        "This is a sentence of some length. Short one.\n\nAnd this is another longer sentence here."
+    )
+    rows = spark.createDataFrame([(1, "We met Contoso in 9 weeks.", "They agree. Fabrikam left in 3 days.\n\nWe met Contoso."), (2, "x", "it was Fabrikam."), (3, None, None)], "k int, brief string, draft string")
+    got = {r.k: r.draft for r in drafting.scrubbed(rows, "brief", "draft").collect()}
+    assert got == {1: "They agree.\n\nWe met Contoso.", 2: "", 3: ""}
+    vocabulary = spark.createDataFrame([("customers noticed it",), ("all customers left",), ("with managers and meetings",), ("managers like meetings",), ("we met Contoso",)], "text string")
+    words = guards.ordinary_words(vocabulary, "text")
+    assert {"customers", "managers", "meetings"} <= {r.word for r in words.collect()}
+    d = spark.createDataFrame([(1, "b", "Customers noticed. Managers agreed. Meetings got shorter. Contoso left.")], "k int, b string, d string")
+    assert guards.invented_names(d, "k", "b", "d", words.unionByName(spark.createDataFrame([("agreed",)], "word string"))).head()["names"] == ["contoso"]
+    assert rewrite.masked("#Contoso @Fabrikam\n- Contoso\nplain") == "plain"
+    assert training.fitted("a " * 2000, "b " * 50) is not None and training.fitted("", "x") is None
+    t = "The harvest planning committee reviewed every single garden proposal yesterday evening"
+    assert training.shared_words(training.distanced(t, t), t) < 0.72
+    with pytest.raises(Exception, match="characters"):
+        spark.createDataFrame([("a" * 4000, "b")], "i string, o string").select(training.translator_row(F.col("i"), F.col("o"))).collect()
+    assert {r.kind: r["count"] for r in training.synthetic(spark).groupBy("kind").count().collect()} == {"short_cadence": 8, "clean_flat": 32, "multi_paragraph": 12}
+
+
+def test_articles_and_arms(spark):
+    from corpusloom.operators import drafting
+
+    briefs = spark.createDataFrame([("a", "the plan", "- the plan has 9 weeks\n- nobody asked for the memo"), ("b", "", ""), ("c", "t", None)], "holdout_id string, topic string, points string")
+    invent = lambda: lambda p: "it was Fabrikam that agreed." if "9 weeks" in p.split("only: ")[1].split("\n")[0] else "we saw that nobody asked for it."
+    r = drafting.write_article(briefs, invent, 280).collect()
+    assert [(x.holdout_id, x.sections, x.clean, x.repaired, x.scrubbed, x.dropped) for x in r] == [("a", 2, 1, 0, 0, 1)]
+    empty = drafting.write_article(briefs, lambda: lambda p: "it was Fabrikam that agreed.", 280).head()
+    assert empty.invented and empty.dropped == 2 and empty.words == 0
+    s = evaluate.score(F.col("h"), F.col("d"), F.col("b"), F.lit(""))
+    held = spark.createDataFrame([("Short. Lines.\n\nYou see it. You do.", "You see. Short lines.", "x")], "h string, d string, b string")
+    assert not held.select(s.alias("s")).head()["s"].disqualified
+    with pytest.raises(Exception, match="leaks"):
+        evaluate.checked_receipt(spark.createDataFrame([("a", "Secret Firm")], "k string, note string"), ("secret",)).collect()
+    pieces = spark.createDataFrame([("1", "x")], "id string, text string")
+    with pytest.raises(Exception, match="no piece"):
+        evaluate.holdouts(pieces, spark.createDataFrame([("2",)], "id string")).collect()
+    art = spark.createDataFrame([(f"{i}", "linkedin_article", "<p>You and I went. We saw it all.</p>" * 3) for i in range(2)], "id string, source string, text string")
+    row = style.article_cadence(art).head()
+    assert row.article_cadence_samples == 2 and row.article_median_sentence_words is None
+    assert style.directives(style.style_profile(art.limit(0).withColumn("text", F.col("text"))), banned=()).count() == 0
+
+
 def test_entry_without_llm():
     import __spark_entry__ as e
 

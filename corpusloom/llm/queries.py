@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import formatdup, leak, mixing, neardup, packing, pii, quality, spans, tokens, truncation
+from corpusloom.llm.sql import ORACLE  # noqa: F401 - read by the entry
 from corpusloom.runtime import table, written
 
 
@@ -21,6 +22,12 @@ def p1_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measured(table(spark, sf_dir, "pieces"), "id", "text", ("word_count",)).drop("is_text")
 
 
+def p1_wrong_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The word counts that don't hold, beside the counts that do."""
+    rows = quality.measured(table(spark, sf_dir, "pieces", spread=True), "id", "text", ("word_count",))
+    return rows.where("word_count <> 0 and word_count <> words").select("id", "word_count", F.col("words").cast("bigint").alias("words"))
+
+
 def p2_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak.leaked_spans(_pieces(spark, sf_dir), table(spark, sf_dir, "eval_items"))
 
@@ -158,5 +165,4 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.withColumn("rate", F.col("cut_off") / F.col("documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_spans, p2_clean, p3_found, p3_incremental, p3_last_batch, p4_found, p4_redacted, p6_found, p6_counts, p7_found, p7_groups, p8_sequences, p8_fill, p9_uses, p9_shares, p9_mixture, p10_found, p10_rates)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p1_found, p1_statistics, p1_wrong_counts, p2_found, p2_spans, p2_clean, p3_found, p3_incremental, p3_last_batch, p4_found, p4_redacted, p6_found, p6_counts, p7_found, p7_groups, p8_sequences, p8_fill, p9_uses, p9_shares, p9_mixture, p10_found, p10_rates)}

@@ -24,3 +24,12 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
 
 def record(**cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols.values()], names=list(cols))
+
+
+#: Bytes of a shuffle partition that its task reads with ease.
+PARTITION = 64 << 20
+
+
+def partitions(df: DataFrame, rows: int, row_bytes: int) -> int:
+    """How many partitions so many rows need: those of the session, or more if they would be larger than PARTITION."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows * row_bytes // PARTITION))

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from corpusloom.components import components
 from corpusloom.llm.codepoints import BASE_1, BASE_2, U64, Codes, Words, mix, powers
 from corpusloom.llm.formatdup import format_copies
-from corpusloom.llm.frames import map_batches, record, salted_join
+from corpusloom.llm.frames import map_batches, partitions, record, salted_join
 from corpusloom.runtime import checked_broadcast, written
 
 #: Buckets per class and minima per bucket; signature bits come from the first 64 minima.
@@ -326,10 +326,10 @@ def _verified(pairs: DataFrame, threshold: float) -> DataFrame:
     return map_batches(pairs, make, "a bigint, b bigint, similarity double")
 
 
-def _candidates(df: DataFrame, threshold: float, run: int, hot: int, block: int) -> DataFrame:
+def _candidates(df: DataFrame, threshold: float, run: int, hot: int, block: int, rows: int) -> DataFrame:
     """(a, b) with a < b of classes within the radius in a bucket."""
     far = radius(threshold)
-    near = _postings(df, run).repartition("bucket").sortWithinPartitions("bucket")
+    near = _postings(df, run).repartition(partitions(df, rows * BUCKETS, 32), "bucket").sortWithinPartitions("bucket")
     found = written(near.mapInArrow(bucket_pairs(far, hot), FOUND), "bucket-pairs")
     pairs = found.where("b is not null").select("a", "b")
     large = found.where("b is null").select("bucket", F.col("a").alias("cls"), "low", "high")
@@ -342,7 +342,7 @@ def similar(df: DataFrame, threshold: float = 0.8, run: int = 5, hot: int = HOT,
     """For df(id, text): members(id, cls) and links(a, b, similarity) between classes with a < b."""
     df = df.select(F.col("id").cast("string").alias("id"), "text").where(F.col("id").isNotNull())
     members = written(classes(df, run).distinct(), "classes")
-    cand = _candidates(df, threshold, run, hot, block)
+    cand = _candidates(df, threshold, run, hot, block, members.count())
     wanted = cand.select(F.col("a").alias("cls")).union(cand.select("b")).distinct()
     one = members.join(checked_broadcast(wanted), "cls", "left_semi").groupBy("cls").agg(F.min("id").alias("id"))
     texts = df.join(checked_broadcast(one), "id").dropDuplicates(["cls"]).select("cls", "text")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.codepoints import BASE_1, BASE_2, MIX_1, U64, Codes, mix, powers
-from corpusloom.llm.frames import map_batches, record, salted_join
+from corpusloom.llm.frames import map_batches, partitions, record, salted_join
 from corpusloom.runtime import checked_broadcast, path_exists, shared_path, written
 
 LENGTH = 200
@@ -300,7 +300,9 @@ def batch_stretches(corpus: DataFrame, index: FingerprintIndex, name: str, hot:
     windows = lambda kind: map_batches(
         texts.where(F.size(kind) > 0).select("cls", "text", kind, "fresh"), _window_rows(index.length), "win bigint, cls bigint, at int, fresh boolean"
     )
-    met = windows("cold").repartition("win").sortWithinPartitions("win").mapInArrow(_meeting, "cls bigint, at int")
+    number = F.aggregate("cold", F.lit(0).cast("bigint"), lambda a, x: a + x["number"])
+    rows = spots.agg(F.coalesce(F.sum(number), F.lit(0))).head()[0]  # windows to come
+    met = windows("cold").repartition(partitions(spots, rows, 24), "win").sortWithinPartitions("win").mapInArrow(_meeting, "cls bigint, at int")
     if spots.where(F.size("hot") > 0).limit(1).count():
         met = met.unionByName(_hot_meeting(windows("hot")))
     parts = map_batches(met.groupBy("cls").agg(F.collect_list("at").alias("s")), _stretches(index.length), "cls bigint, begin bigint, end bigint")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from corpusloom.components import components
 from corpusloom.functions import text as T
 from corpusloom.operators.rewrite import normalized
-from corpusloom.runtime import checked_broadcast, salted_join, written
+from corpusloom.runtime import checked_broadcast, near_small, salted_join, written
 
 NEAR_RATIO = 0.99
 PRIORITY = ("linkedin_article", "linkedin_post", "linkedin_comment")
@@ -115,29 +115,43 @@ def near_links(df: DataFrame, ratio: float = NEAR_RATIO) -> DataFrame:
     return _near_rows(with_key(df).where("key <> ''"), ratio).select("left", "right", "ratio")
 
 
+#: Rows of one bucket beyond which its comparisons are dealt out to several tasks.
+SHARE = 2048
+
+
 def _near_rows(keyed: DataFrame, ratio: float) -> DataFrame:
     """(left, right, left_key, right_key, ratio).
 
-    Within a bucket only lengths that the ratio allows can meet: rows are cut into bands of length of the ratio's width,
-    so a row meets its own and the next band. A profile of character counts, cut to 25 classes, is compared natively
-    before the matcher runs.
+    Within a bucket of source and date only lengths that the ratio allows can meet: rows are cut into bands of length of
+    the ratio's width, so a row meets its own and the next band. A profile of character counts, cut to 25 classes, is
+    compared natively before the matcher runs. Keys stay out of that join and are fetched for what is left. A large
+    bucket (a hot source, or texts without a date) is split by a hash; each part meets the whole bucket.
     """
     rows = keyed.select("id", "key", F.coalesce("source", F.lit("")).alias("s"), F.coalesce("date", F.lit("")).alias("d"))
     rows = rows.groupBy("s", "d", "key").agg(F.min("id").alias("id"), F.max("id").alias("last"))
     step = max(1e-6, 2 / ratio - 2)
     rows = rows.withColumn("n", F.length("key")).withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 + step))))
     bag = F.array(*[F.length("key") - F.length(F.translate("key", c, "")) for c in "etaoinshrdlcumwfgypbvk .,"])
-    rows = written(rows.withColumn("bag", bag), "near-keys")
-    a = rows.select("s", "d", F.explode(F.array("band", F.col("band") + 1)).alias("band"), *[F.col(c).alias("a_" + c) for c in ("id", "last", "key", "n", "bag")], F.col("band").alias("a_band"))
-    j = a.join(rows, ["s", "d", "band"]).where((F.col("a_band") < F.col("band")) | (F.col("a_id") < F.col("id")))
+    rows = written(rows.withColumn("bag", bag).withColumn("h", F.sha2("key", 256)), "near-keys")
+    place = ["s", "d", "band"]
+    sizes = rows.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("parts"))
+    b = near_small(rows.drop("key"), sizes, place, spread="id").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    cols = ("id", "last", "h", "n", "bag")
+    a = rows.select("s", "d", F.explode(F.array("band", F.col("band") + 1)).alias("band"), *[F.col(c).alias("a_" + c) for c in cols], F.col("band").alias("a_band"))
+    a = near_small(a, sizes, place, spread="a_id").withColumn("part", F.pmod(F.xxhash64("a_id"), F.col("parts")).cast("int")).drop("parts")
+    j = a.join(b, [*place, "part"]).where((F.col("a_band") < F.col("band")) | (F.col("a_id") < F.col("id")))
     low = F.least("a_n", "n")
     shared = F.aggregate(F.zip_with("a_bag", "bag", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
     total = F.col("a_n") + F.col("n")
     j = j.where((2.0 * low / total >= ratio) & ((total - shared) / total >= ratio))
-    side = lambda left, right, lk, rk: F.struct(F.col(left).alias("left"), F.col(right).alias("right"), F.col(lk).alias("left_key"), F.col(rk).alias("right_key"))
-    orders = F.array(side("a_id", "last", "a_key", "key"), side("id", "a_last", "key", "a_key"))
+    side = lambda left, right, lk, rk: F.struct(F.col(left).alias("left"), F.col(right).alias("right"), F.col(lk).alias("left_h"), F.col(rk).alias("right_h"))
+    orders = F.array(side("a_id", "last", "a_h", "h"), side("id", "a_last", "h", "a_h"))
     j = j.select(F.explode(F.filter(orders, lambda x: x["left"] < x["right"])).alias("x"), "a_id", "id")
     # beside the lowest id of one key stands the lowest id of the other if that is higher, else its highest
     other = F.when(F.col("x.left") == F.least("a_id", "id"), F.greatest("a_id", "id")).otherwise(F.col("x.right"))
-    j = j.select("x.left", other.alias("right"), "x.left_key", "x.right_key")
+    j = written(j.select("x.left", other.alias("right"), "x.left_h", "x.right_h"), "near-pairs")
+    keys = rows.select("h", "key").join(j.select(F.col("left_h").alias("h")).union(j.select("right_h")).distinct(), "h", "left_semi").dropDuplicates(["h"])
+    for c in ("left", "right"):
+        j = j.join(keys.select(F.col("h").alias(f"{c}_h"), F.col("key").alias(f"{c}_key")), f"{c}_h")
+    j = j.select("left", "right", "left_key", "right_key")
     return j.withColumn("ratio", F.pandas_udf(sequence_ratio, "double")("left_key", "right_key")).where(F.col("ratio") >= ratio)

@@ -302,6 +302,29 @@ def test_articles_and_arms(spark):
     assert style.directives(style.style_profile(art.limit(0).withColumn("text", F.col("text"))), banned=()).count() == 0
 
 
+def test_near_links_of_a_hot_bucket(spark, monkeypatch):
+    # a third of the rows without a date under one source; the split bucket gives what the whole one gives
+    body = " ".join(f"word{i} went to town{i}" for i in range(40))
+    rows = [(f"n{i:02}", "doc", f"{body} {i % 7}", None, None, 1, "", {}) for i in range(30)]
+    rows += [(f"d{i:02}", "doc", f"{body} {i % 7}", f"2020-01-{i % 28 + 1:02}", None, 1, "", {}) for i in range(60)]
+    df = spark.createDataFrame(rows, PIECE)
+    whole = sorted(tuple(r) for r in dedupe.near_links(df).collect())
+    monkeypatch.setattr(dedupe, "SHARE", 2)
+    assert sorted(tuple(r) for r in dedupe.near_links(df).collect()) == whole and len(whole) > 20
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from corpusloom.__main__ import main
+
+    (tmp_path / "p.jsonl").write_text('{"input":"same text","output":"same text"}\n')
+    assert main(["pair-gate", str(tmp_path / "p.jsonl"), "--kept", str(tmp_path / "kept")]) == 1
+    assert main(["scorecard", "plain words without names"]) == 1 and main(["demo"]) == 0
+    assert '"dropped"' in capsys.readouterr().out
+    with pytest.raises(SystemExit) as e:
+        main(["nothing"])
+    assert e.value.code == 2
+
+
 def test_entry_without_llm():
     import __spark_entry__ as e
 

@@ -12,7 +12,8 @@ the windows of the full length are hashed anew (another base) and grouped; a win
 it, one of them in the batch. Of older texts only those that meet the batch are read. Groups are told apart by their
 smallest and largest text key, never spelled out as pairs. Windows of anchors that more than HOT texts have are told
 apart by partial aggregates and a salted join, the others by a sort within tasks. Texts that are equal as a whole form
-one class and meet in no window.
+one class and meet in no window. No side of a join is broadcast on Spark's estimate of its size: a side that grows with
+the records is counted first, or merged.
 
 Equality rests on two 64-bit hashes of different bases (anchor and window), not on the text.
 
@@ -30,8 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.codepoints import BASE_1, BASE_2, MIX_1, U64, Codes, mix, powers
-from corpusloom.llm.frames import map_batches, partitions, record, salted_join
-from corpusloom.runtime import checked_broadcast, path_exists, shared_path, written
+from corpusloom.llm.frames import map_batches, partitions, record
+from corpusloom.runtime import checked_broadcast, near_small, path_exists, shared_path, written
 
 LENGTH = 200
 #: An anchor of more rows than this is hot: its windows aren't gathered by value in one task.
@@ -185,11 +186,11 @@ class FingerprintIndex:
         met = bounds
         for o in older:
             theirs = self.run(o).groupBy("hash").agg(F.min("cls").alias("lo2"), F.max("cls").alias("hi2"), F.count(F.lit(1)).alias("n2"))
-            met = met.join(theirs, "hash", "left").select(
+            met = met.join(theirs.hint("merge"), "hash", "left").select(
                 "hash", F.least("lo", "lo2").alias("lo"), F.greatest("hi", "hi2").alias("hi"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n")
             )
         for r in (*older, name):
-            got = self.run(r).join(met if r == name else bounds, "hash").where((F.col("lo") != F.col("cls")) | (F.col("hi") != F.col("cls")))
+            got = self.run(r).join((met if r == name else bounds).hint("merge"), "hash").where((F.col("lo") != F.col("cls")) | (F.col("hi") != F.col("cls")))
             got = got.select("cls", "pos", "number", "n")
             out = got if out is None else out.unionByName(got)
         return out
@@ -260,7 +261,7 @@ def _hot_meeting(windows: DataFrame) -> DataFrame:
     """The same by minima and maxima from partial aggregates and a salted join, for windows that any share of all texts may have."""
     windows = written(windows, "hot-windows")
     met = windows.groupBy("win").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.max("fresh").alias("any"))
-    return salted_join(windows, met.where("any and lo <> hi").select("win"), ["win"], spread="cls").select("cls", "at")
+    return near_small(windows, written(met.where("any and lo <> hi").select("win"), "hot-met"), ["win"], spread="cls").select("cls", "at")
 
 
 def _stretches(length: int):
@@ -288,7 +289,7 @@ def batch_stretches(corpus: DataFrame, index: FingerprintIndex, name: str, hot:
     corpus(id, text) must hold the records of these runs; of the older ones only texts that meet the run are used.
     """
     runs = index.runs[: index.runs.index(name) + 1]
-    members, own = index.classes(runs), index.classes([name]).select("cls").distinct()
+    members, own = index.classes(runs), index.classes([name]).select("cls").distinct().hint("merge")
     anchor = F.struct("pos", "number")
     spots = index.shared_with(name).groupBy("cls").agg(
         F.collect_set(F.when(F.col("n") <= hot, anchor)).alias("cold"), F.collect_set(F.when(F.col("n") > hot, anchor)).alias("hot")
@@ -296,7 +297,7 @@ def batch_stretches(corpus: DataFrame, index: FingerprintIndex, name: str, hot:
     spots = written(spots.join(own.withColumn("fresh", F.lit(True)), "cls", "left").withColumn("fresh", F.coalesce("fresh", F.lit(False))), "spots")
     one = members.join(checked_broadcast(spots.select("cls")), "cls", "left_semi").groupBy("cls").agg(F.min("id").alias("id"))
     # only narrow rows are broadcast; the lists of spots meet their texts in a shuffle of those texts alone
-    texts = records(corpus, index.length).join(checked_broadcast(one), "id").dropDuplicates(["cls"]).join(spots, "cls")
+    texts = records(corpus, index.length).join(checked_broadcast(one), "id").dropDuplicates(["cls"]).join(spots.hint("merge"), "cls")
     windows = lambda kind: map_batches(
         texts.where(F.size(kind) > 0).select("cls", "text", kind, "fresh"), _window_rows(index.length), "win bigint, cls bigint, at int, fresh boolean"
     )
@@ -324,7 +325,7 @@ def covered(stretches: DataFrame) -> DataFrame:
 def shared_by_id(index: FingerprintIndex, stretches: DataFrame) -> DataFrame:
     """(id, shared_chars) of every record of the index that has stretches."""
     best = written(covered(stretches), "shared")
-    return salted_join(index.classes().select("id", "cls").distinct(), best, ["cls"], spread="id").select("id", "shared_chars")
+    return near_small(index.classes().select("id", "cls").distinct(), best, ["cls"], spread="id").select("id", "shared_chars")
 
 
 def shared_chars(corpus: DataFrame, index: FingerprintIndex, name: str) -> DataFrame:

@@ -75,11 +75,11 @@ def settled(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def checked_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """A broadcast hint if the side has at most max_rows rows; else df as it is, so that Spark shuffles.
+    """A broadcast hint if the side has at most max_rows rows; else one for a merge, so that Spark shuffles whatever it takes the side's size for.
 
     The bound is BROADCAST_ROWS, or the session's spark.corpusloom.broadcastRows.
     """
-    return F.broadcast(df) if _is_small(df, max_rows) else df
+    return F.broadcast(df) if _is_small(df, max_rows) else df.hint("merge")
 
 
 def _is_small(df: DataFrame, max_rows: int | None) -> bool:
@@ -88,8 +88,11 @@ def _is_small(df: DataFrame, max_rows: int | None) -> bool:
 
 
 def near_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", spread: str | None = None) -> DataFrame:
-    """Join with a side that is broadcast if it is small, else repeated for big's salts: no key of big is one task either way."""
-    return big.join(F.broadcast(small), keys, how) if _is_small(small, None) else salted_join(big, small, keys, how, spread)
+    """Join with a side that is broadcast if it is small, else repeated for big's salts: no key of big is one task either way.
+
+    What is repeated is merged: Spark's estimate of its size doesn't know of the repetition, and may broadcast it.
+    """
+    return big.join(F.broadcast(small), keys, how) if _is_small(small, None) else salted_join(big, small.hint("merge"), keys, how, spread)
 
 
 def salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", spread: str | None = None) -> DataFrame:

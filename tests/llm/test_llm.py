@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import formatdup, leak, mixing, neardup, packing, pii, quality, queries, spans, truncation
 from corpusloom.llm.stopwords import stop_words
+from corpusloom.runtime import written
 
 W = re.compile(r"[^\W_]+")
 
@@ -323,3 +324,21 @@ def test_counts_of_every_record(spark, tmp_path):
     spark.createDataFrame(lines, "line_id string, line string").write.parquet(str(tmp_path / "index_lines.parquet"))
     got = sorted(tuple(r) for r in queries.p6_counts(spark, str(tmp_path)).collect())
     assert got == [("index_lines", "1", 2), ("index_lines", "3", 1), ("pieces", "a", 2), ("pieces", "d", 1)]
+
+
+def two_batches(df, hot):
+    index = spans.FingerprintIndex(df.sparkSession)
+    parts = [spans.batch_stretches(df, index, index.append(df.where(F.pmod(F.xxhash64("id"), F.lit(2)) == i)), hot=hot) for i in range(2)]
+    return spans.shared_by_id(index, parts[0].unionByName(parts[1]))
+
+
+def test_shared_spans_broadcast_nothing_that_grows(spark, texts, monkeypatch):
+    plans = []
+    plan = lambda x: plans.append(x._jdf.queryExecution().executedPlan().toString()) or x
+    monkeypatch.setattr(spans, "written", lambda x, name: written(plan(x), name))
+    spark.conf.set("spark.corpusloom.broadcastRows", "0")  # every side is too large, whatever Spark takes its size for
+    try:
+        got = plan(two_batches(texts[1], 0)).count()
+    finally:
+        spark.conf.unset("spark.corpusloom.broadcastRows")
+    assert got > 10 and len(plans) > 8 and not any("Broadcast" in p for p in plans)

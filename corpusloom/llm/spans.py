@@ -179,19 +179,20 @@ class FingerprintIndex:
         return name
 
     def shared_with(self, name: str) -> DataFrame:
-        """Anchors (cls, pos, number, n) of run `name` and those before it that a text of run `name` shares with another; n rows have the anchor."""
-        bounds = self.run(name).groupBy("hash").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count(F.lit(1)).alias("n"))
+        """Anchors (cls, pos, number, n) of run `name` and those before it that a text of run `name` shares with another; n rows of all these runs have the anchor."""
+        lo, hi, n = F.min("cls"), F.max("cls"), F.count(F.lit(1))
+        met = self.run(name).groupBy("hash").agg(lo.alias("own_lo"), hi.alias("own_hi"), n.alias("n")).withColumns({"lo": F.col("own_lo"), "hi": F.col("own_hi")})
         older = self.runs[: self.runs.index(name)]
-        out = None
-        met = bounds
         for o in older:
-            theirs = self.run(o).groupBy("hash").agg(F.min("cls").alias("lo2"), F.max("cls").alias("hi2"), F.count(F.lit(1)).alias("n2"))
+            theirs = self.run(o).groupBy("hash").agg(lo.alias("lo2"), hi.alias("hi2"), n.alias("n2"))
             met = met.join(theirs.hint("merge"), "hash", "left").select(
-                "hash", F.least("lo", "lo2").alias("lo"), F.greatest("hi", "hi2").alias("hi"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n")
+                "hash", "own_lo", "own_hi", F.least("lo", "lo2").alias("lo"), F.greatest("hi", "hi2").alias("hi"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n")
             )
+        met = written(met.where("lo <> hi"), "met")
+        out = None
         for r in (*older, name):
-            got = self.run(r).join((met if r == name else bounds).hint("merge"), "hash").where((F.col("lo") != F.col("cls")) | (F.col("hi") != F.col("cls")))
-            got = got.select("cls", "pos", "number", "n")
+            other = F.expr("lo <> cls or hi <> cls" if r == name else "own_lo <> cls or own_hi <> cls")
+            got = self.run(r).join(checked_broadcast(met), "hash").where(other).select("cls", "pos", "number", "n")
             out = got if out is None else out.unionByName(got)
         return out
 

@@ -332,6 +332,15 @@ def two_batches(df, hot):
     return spans.shared_by_id(index, parts[0].unionByName(parts[1]))
 
 
+def test_shared_spans_of_an_anchor_hot_in_all_batches_together(spark):
+    # three records have the stretch: too few in each batch, enough in both to be hot
+    foot = " ".join(f"w{i}" for i in range(90))
+    df = spark.createDataFrame([(f"r{i}", f"{i} {foot}") for i in range(3)], "id string, text string")
+    assert df.select(F.pmod(F.xxhash64("id"), F.lit(2))).distinct().count() == 2
+    cold, hot = ({r.id: r.shared_chars for r in two_batches(df, h).collect()} for h in (10**6, 2))
+    assert hot == cold == {f"r{i}": len(foot) + 1 for i in range(3)}
+
+
 def test_shared_spans_broadcast_nothing_that_grows(spark, texts, monkeypatch):
     plans = []
     plan = lambda x: plans.append(x._jdf.queryExecution().executedPlan().toString()) or x

@@ -1,11 +1,11 @@
 """Personal items in free text: found by a linear-chain conditional random field, replaced by typed placeholders.
 
-Stretches of text that hold a digit group, an at sign, a street word, a given name or a phrase that goes with names are
-cut out with their surroundings and split into tokens. Each token's features are its shape and its class in small
-lexicons, seen from up to two tokens away. The field is trained on the driver from a small labelled table, made from
-the sentences below, by gradient ascent on its likelihood; stretches are decoded by Viterbi in numpy batches. What it
-finds passes an exact check of form before it counts. The words that a corpus writes in lower case are counted over
-all texts of all tables.
+Every text is split into tokens from its first character to its last. Each token's features are its shape and its class
+in small lexicons, seen from up to two tokens away. The field is trained on the driver from a small labelled table, made
+from the sentences below, by gradient ascent on its likelihood. All tokens are scored; where no item can lie on the best
+path, whatever its bounds, the label is O by proof, and the rest is decoded by Viterbi in numpy batches: the labels are
+those of Viterbi over the whole text. What it finds passes an exact check of form before it counts. The words that a
+corpus writes in lower case are counted over all texts of all tables.
 
 Defined cases: null and empty texts hold nothing; an item counts wherever it stands in a text of any length; items
 never overlap; text outside the items stays untouched; more than MAX_NAMES given names are an error, none is dropped.
@@ -14,6 +14,8 @@ never overlap; text outside the items stays untouched; more than MAX_NAMES given
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +32,11 @@ PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]
 #: Given names that the model may know; share of the texts, and number of them, that make a lower-case word an ordinary one.
 MAX_NAMES, ORDINARY_SHARE, ORDINARY_TEXTS = 100_000, 1 / 2000, 2
 REACH = 2  # tokens to either side that a token's label looks at
-MARGIN = 70  # characters around a candidate that are decoded with it
+CHUNK = 200_000  # tokens that are scored at once; a longer text is a chunk of its own
 
 TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d+|\n|[^\w\s]|_")
+#: The same with the white space before it, if there is any; a token that has none is glued to the one before.
+SPACED = re.compile(rf"[^\S\n]?(?:{TOKEN.pattern})")
 #: The lexicons.
 LEXICON = {
     "street": "street st road rd avenue ave lane ln drive dr court ct boulevard blvd way terrace close crescent parkway highway row grove mews walk quay hill gardens",
@@ -51,113 +55,138 @@ STREET_END = re.compile(r".{2,}(?:straße|strasse|str|allee|weg|gasse|platz|ring
 NUMBER_WORD = r"(?:zero|oh|one|two|three|four|five|six|seven|eight|nine|double|triple)"
 
 
-UPPER = "A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĒĖĘĚĞĪĮİŁŃŇŐŒŘŚŞŠŤŪŮŰŹŻŽ"
-LINKS = r"(?:(?:van|von|de|da|di|del|la|le|bin|al|der|VAN|VON|DE)\s+){0,2}"
-PAIR = re.compile(rf"[{UPPER}][^\W\d_]+(?:[-'’][^\W\d_]+)*,?\s+{LINKS}[{UPPER}][^\W\d_]+(?:-[^\W\d_]+)?")
-DIGITS = re.compile(r"\d[\d()./ \t\xa0-]{4,}\d")
-DAY = re.compile(r"(?:19|20)\d\d([-./])\d{1,2}\1\d{1,2}(?: \d\d)?$")
-NUMBER = re.compile(r"(?<![\d.,/-])\d{1,5}(?!\d|[.,/-]\d|%)")
-SPOKEN = re.compile(rf"(?:\b{NUMBER_WORD}[ -]+){{6}}", re.I)
-AT = re.compile(r"@|[\[({]\s*at\s*[\])}]|\sat\s+[\w.-]+\s+dot\s", re.I)
-STREET_NEAR = re.compile(
-    rf"\b(?:{'|'.join(LEXICON['street'].split())})\b|(?:straße|strasse|str\.|allee|weg|gasse|platz|ring|damm|ufer)\s*,?\s*$|\b(?:am|an der|rue|calle|via|avenida|plaza)\s", re.I
-)
 LETTERS = re.compile(r"[^\W\d_]+")
 LOWER = re.compile(r"(?<![^\W_])[a-zß-öø-ÿāăąćčďđēėęěğīįıłńňőœřśşšťūůűźżž]{2,}(?![^\W_])")
-BEFORE_NAME = re.compile(r"(?:\b(?:signed|ask|as|dear|mr|mrs|ms|dr|by|with|met|thanks to|regards|cheers|yesterday|told|and)|\bowe\b[^.\n]{1,60}\bto)[\s,.]*$", re.I)
-AFTER_NAME = re.compile(r"\s+(?:said|wrote|called|asked|told|says)\b", re.I)
 PARTICLES = frozenset(LEXICON["particle"].split())
 DIGIT_SET = frozenset(LEXICON["digitword"].split())
-STREET_SET = frozenset((LEXICON["street"] + " am an rue calle via avenida plaza str").split())
-STREET_ENDS = ("straße", "strasse", "str.", "allee", "gasse", "platz", "weg", "damm", "ufer", "ring")
 
 
 class Gate:
-    """Where a personal item can be. Each test starts at a character or word that few texts hold many of."""
-
-    def __init__(self, names: frozenset):
-        self.names = names
+    """Which forms a text can hold at all: those whose signs it lacks aren't sought in it. No place of a text is left out."""
 
-    def _named(self, text: str, m: re.Match) -> bool:
-        return (
-            any(w.lower() in self.names for w in LETTERS.findall(m[0]))
-            or AFTER_NAME.match(text, m.end()) is not None
-            or BEFORE_NAME.search(text, max(0, m.start() - 70), m.start()) is not None
-            or BEFORE_NAME.search(m[0].split()[0]) is not None
-        )
+    AT = re.compile(r"at ?[\])}]")
+    STREET_BEFORE = re.compile(r"(?:strasse|str\.|allee|weg|gasse|platz|ring|damm|ufer) \d")
+    WAY_BEFORE = re.compile(r"\b(?:am|an der|rue|calle|via|avenida|plaza) [^\W\d_]+ \d")
+    DIGIT = re.compile(r"\d")
 
-    def spots(self, text: str) -> list[tuple[int, int]]:
+    def __call__(self, text: str, digit_words: int) -> tuple[str, ...]:
+        """Names of the alternatives of FORM that need more than a digit, and of the rest; empty if none can fit."""
+        low = text.casefold()
+        odd = "\u0130" in text or "\u0131" in text  # letters that fold in other ways in patterns
         out = []
-        for m in DIGITS.finditer(text):
-            item = m[0]
-            n = sum(c.isdigit() for c in item)
-            near = text[m.start() - 1 : m.start()] if m.start() else ""
-            if n < 6 or (n < 7 and not near.isalpha() and near != " ") or DAY.match(item) or ("  " in item and near not in "+(" and "(" not in item and n > 15):
-                continue
-            out.append(m.span())
-        low = text.lower()
-        words = set(LETTERS.findall(low))
-        if not words.isdisjoint(STREET_SET) or any(x in low for x in STREET_ENDS):
-            for m in NUMBER.finditer(text):
-                if STREET_NEAR.search(text, max(0, m.start() - 30), m.start()) or STREET_NEAR.search(text, m.end(), m.end() + 45):
-                    out.append(m.span())
-        if "@" in low or "at]" in low or "at)" in low or ("dot" in words and "at" in words):
-            out += [m.span() for m in AT.finditer(text)]
-        if len(words & DIGIT_SET) > 2:
-            out += [m.span() for m in SPOKEN.finditer(text)]
-        out += [m.span() for m in PAIR.finditer(text) if self._named(text, m)]
-        if not self.names.isdisjoint(words) and text == low:
-            out += [m.span() for m in LETTERS.finditer(low) if m[0] in self.names]
-        return sorted(out)
+        if odd or "@" in low or ("at" in low and ("dot" in low or self.AT.search(low))):
+            out.append("mail")
+        if self.DIGIT.search(text):
+            out.append("digit")
+            if odd or self.STREET_BEFORE.search(low) or self.WAY_BEFORE.search(low):
+                out.append("strasse")
+        if odd or digit_words > 5:
+            out.append("spoken")
+        return tuple(out)
 
 
 def gate(names: frozenset) -> Gate:
-    return Gate(names)
+    """The gate is the same for all names."""
+    return Gate()
 
 
 #: Forms that a token can stand in; the first that fits holds. They are features like any other, not decisions.
-FORM = re.compile(
-    r"(?P<mail>[\w.+'-]+ ?(?:@|[\[({] ?at ?[\])}]|\bat\b(?= ?[\w-]+ ?(?:[\[({] ?)?\bdot\b)) ?[\w-]+(?: ?(?:\.(?=\w)|[\[({] ?dot ?[\])}]|\bdot\b) ?[\w-]+)+)|"
-    r"(?P<quad>\b\d{1,3}(?:\.\d{1,3}){3}\b)|(?P<day>\b(?:19|20)\d\d[-./]\d{1,2}[-./]\d{1,2})|(?P<ssn>\b\d{3}[- ]\d{2}[- ]\d{4}\b)|"
-    r"(?P<nino>\b[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]\b)|(?P<pass>\b[A-Z]{1,2}\d{6,8}\b)|(?P<four>\b\d{4} \d{4} \d{4}\b)|(?P<round>\+\d\d 000 000)|"
-    r"(?P<phone>(?:\+|\b00)\d{1,3}[\d ()/.-]{6,}\d|\(\d{2,4}\)[ -]?\d{3,4}[ -]\d{3,4}\b|\b(?:1[ -])?\d{3}[-. ]\d{3}[-. ]\d{4}\b|\b0\d{2,4}[ /-]\d{3,8}(?:[ -]\d{3,6})?\b|\+\d{9,13}\b)|"
-    rf"(?P<spoken>(?:\b{NUMBER_WORD}\b[ -]?){{7,}})|"
-    rf"(?P<street>\b\d{{1,5}}[a-z]?,? (?:(?:north|south|east|west|[nsew])\.? )?(?:[^\W\d_]+ ){{1,2}}(?:{'|'.join(LEXICON['street'].split())})\b\.?)|"
-    r"(?P<strasse>\b(?:[^\W\d_]{3,}(?:straße|strasse|str\.|allee|weg|gasse|platz|ring|damm|ufer)|(?:am|an der|rue|calle|via|avenida|plaza) [^\W\d_]+) \d{1,4}[a-z]?\b)",
-    re.I,
-)
+FORMS = {
+    "mail": r"(?P<mail>[\w.+'-]+ ?(?:@|[\[({] ?at ?[\])}]|\bat\b(?= ?[\w-]+ ?(?:[\[({] ?)?\bdot\b)) ?[\w-]+(?: ?(?:\.(?=\w)|[\[({] ?dot ?[\])}]|\bdot\b) ?[\w-]+)+)",
+    "digit": r"(?P<quad>\b\d{1,3}(?:\.\d{1,3}){3}\b)|(?P<day>\b(?:19|20)\d\d[-./]\d{1,2}[-./]\d{1,2})|(?P<ssn>\b\d{3}[- ]\d{2}[- ]\d{4}\b)" "|"
+    r"(?P<nino>\b[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]\b)|(?P<pass>\b[A-Z]{1,2}\d{6,8}\b)|(?P<four>\b\d{4} \d{4} \d{4}\b)|(?P<round>\+\d\d 000 000)" "|"
+    r"(?P<phone>(?:\+|\b00)\d{1,3}[\d ()/.-]{6,}\d|\(\d{2,4}\)[ -]?\d{3,4}[ -]\d{3,4}\b|\b(?:1[ -])?\d{3}[-. ]\d{3}[-. ]\d{4}\b|\b0\d{2,4}[ /-]\d{3,8}(?:[ -]\d{3,6})?\b|\+\d{9,13}\b)",
+    "spoken": rf"(?P<spoken>(?:\b{NUMBER_WORD}\b[ -]?){{7,}})",
+    "street": rf"(?P<street>\b\d{{1,5}}[a-z]?,? (?:(?:north|south|east|west|[nsew])\.? )?(?:[^\W\d_]+ ){{1,2}}(?:{'|'.join(LEXICON['street'].split())})\b\.?)",
+    "strasse": r"(?P<strasse>\b(?:[^\W\d_]{3,}(?:straße|strasse|str\.|allee|weg|gasse|platz|ring|damm|ufer)|(?:am|an der|rue|calle|via|avenida|plaza) [^\W\d_]+) \d{1,4}[a-z]?\b)",
+}
 
 
+@lru_cache(16)
+def form_pattern(held: tuple[str, ...]) -> re.Pattern:
+    """One pattern of the alternatives that a text can hold, in their order."""
+    return re.compile("|".join(v for k, v in FORMS.items() if k in held or (k == "street" and "digit" in held)), re.I)
 
 
-def forms(text: str, begin: list[int], toks: list[str], plain: frozenset) -> list[str]:
-    out = [""] * len(begin)
-    j = 0
-    for m in FORM.finditer(text):
-        while j < len(begin) and begin[j] < m.start():
-            j += 1
-        first = True
-        while j < len(begin) and begin[j] < m.end():
-            out[j] = ("b" if first else "i") + m.lastgroup
-            first = False
-            j += 1
-    # two capitalized words in a row, maybe with a comma, a hyphen or particles between
-    i = 0
-    while i < len(toks):
-        j = last = i
-        n = 0
-        while j < len(toks):
-            w = toks[j]
-            if w[0].isupper() and len(w) > 1 and not out[j] and w.lower() not in plain:
-                n += 1
-                last = j
-            elif j == i or not (w in "-,'’" or w.lower() in PARTICLES) or j - last > 2 or out[j]:
+DIGIT_RUN = re.compile(r"\d+|[+(]")
+
+
+def by_digits(text: str) -> list[re.Match]:
+    """The same as finditer of the forms that need digits alone.
+
+    Each begins at a bracket, a plus sign or the first digit of a run, or up to three characters, letters and a space,
+    before its first digit.
+    """
+    fits, out, pos = form_pattern(("digit",)).match, [], 0
+    while m := DIGIT_RUN.search(text, pos):
+        p = m.start()
+        for q in range(max(pos, p - 3), p + 1):
+            if (q == p or text[q].isalpha()) and (got := fits(text, q)):
+                out.append(got)
+                pos = got.end()
                 break
-            j += 1
-        if n > 1:
-            for m in range(i, last + 1):
-                out[m] = "ipair" if m > i else f"bpair{min(n, 4)}"
-        i = max(last, i) + 1
+        else:
+            pos = m.end()
+    return out
+
+
+#: Two capitalized words in a row, maybe with a comma, a hyphen or particles between, in a text's kinds of tokens.
+PAIRS = re.compile("[CD](?:l{0,2}[CD])+")
+
+
+class Kinds(dict):
+    """Letters for tokens: capitalized (C, D if a digit word), link between names (l), digit word (d), other (x)."""
+
+    def __init__(self, plain: frozenset):
+        self.plain = plain
+
+    def __missing__(self, spaced: str) -> str:
+        tok, _ = bare(spaced)
+        digit = any(w in DIGIT_SET for w in re.split("['’]", tok.casefold()))
+        if tok[0].isupper() and len(tok) > 1 and tok.lower() not in self.plain:
+            kind = "D" if digit else "C"
+        else:
+            kind = "l" if tok in "-,'’" or tok.lower() in PARTICLES else "d" if digit else "x"
+        self[spaced] = kind
+        return kind
+
+
+def bare(spaced: str) -> tuple[str, bool]:
+    """A token without the white space before it, and whether it is glued."""
+    return (spaced[1:], False) if len(spaced) > 1 and spaced[0].isspace() else (spaced, True)
+
+
+def split(text: str) -> list[str]:
+    """Tokens with the white space before them; the first is never glued."""
+    toks = SPACED.findall(text)
+    if toks and bare(toks[0])[1]:
+        toks[0] = " " + toks[0]
+    return toks
+
+
+def bounds(text: str) -> list[tuple[int, int]]:
+    return [m.span() for m in TOKEN.finditer(text)]
+
+
+def forms(text: str, toks: list[str], kinds: Kinds, where: Gate) -> dict[int, str]:
+    """The forms that tokens stand in, by their place."""
+    out: dict[int, str] = {}
+    row = "".join(map(kinds.__getitem__, toks))
+    held = where(text, row.count("d") + row.count("D"))
+    got = (by_digits(text) if held == ("digit",) else list(form_pattern(held).finditer(text))) if held else ()
+    if got:
+        begin = [m.start() for m in TOKEN.finditer(text)]
+        marked = list(row)
+        for m in got:
+            first, last = bisect_left(begin, m.start()), bisect_left(begin, m.end())
+            for j in range(first, last):
+                out[j] = ("i" if j > first else "b") + m.lastgroup
+                marked[j] = "x"
+        row = "".join(marked)
+    for m in PAIRS.finditer(row):
+        n = sum(c in "CD" for c in m[0])
+        for j in range(*m.span()):
+            out[j] = "ipair" if j > m.start() else f"bpair{min(n, 4)}"
     return out
 
 
@@ -302,83 +331,139 @@ def labelled(copies: int = 5, seed: int = 20, sentences: tuple[str, ...] = SENTE
     return out
 
 
-def split(text: str) -> tuple[list[str], list[int], list[int], list[bool]]:
-    toks, begin, end, glued = [], [], [], []
-    last = -1
-    for m in TOKEN.finditer(text):
-        toks.append(m[0])
-        begin.append(m.start())
-        end.append(m.end())
-        glued.append(m.start() == last)
-        last = m.end()
-    return toks, begin, end, glued
-
-
 ALLOWED = np.array([[not (b.startswith("I-") and (a == "O" or a[2:] != b[2:])) for b in LABELS] for a in LABELS])
 NEVER = -1e4
 
 
+class Known(dict):
+    """Rows of the field's table by token and form; a token without form by itself."""
+
+    def __init__(self, field: "Field"):
+        self.field = field
+
+    def __missing__(self, key: str | tuple[str, str]) -> int:
+        spaced, form = (key, "") if isinstance(key, str) else key
+        i = self[key] = self.field.row(*bare(spaced), form)
+        return i
+
+
 class Field:
     """Weights of features by distance and label, and of label pairs."""
 
+    MOST = 200_000  # rows of the table before it starts anew
+
     def __init__(self, tokens: Tokens, index: dict[str, int], weights: np.ndarray, pairs: np.ndarray):
         self.tokens, self.index, self.weights, self.pairs = tokens, index, weights, pairs
-        self.known: dict[tuple[str, bool, str], int] = {}
-        self.table = np.zeros((4096, 2 * REACH + 1, len(LABELS)), np.float32)
-
-    def _row(self, tok: str, glued: bool, form: str) -> int:
-        key = (tok, glued, form)
-        i = self.known.get(key)
-        if i is None:
-            if len(self.known) + 1 >= 500_000:
-                self.known.clear()
-            i = len(self.known) + 1
-            if i >= len(self.table):
-                self.table = np.concatenate((self.table, np.zeros_like(self.table)))
-            at = [self.index[f] for f in self.tokens(tok, glued, form) if f in self.index]
-            self.table[i] = self.weights[at].sum(0) if at else 0
-            self.known[key] = i
+        self.kinds, self.known = Kinds(tokens.plain), Known(self)
+        self.table, self.rows = np.zeros((4096, 2 * REACH + 1, len(LABELS)), np.float32), 1
+        # what transitions can add to an item of each kind over O in its place: at its ends, and between its tokens
+        t, labels = pairs.astype(np.float64), range(len(KINDS))
+        out = [0, *(1 + 2 * k for k in labels)]
+        enter = np.array([max(0.0, (t[:, 1 + 2 * k] - t[:, 0]).max()) for k in labels])
+        leave = np.array([max(0.0, max((t[x, out] - t[0, out]).max() for x in (1 + 2 * k, 2 + 2 * k))) for k in labels])
+        self.step = np.array([max(t[1 + 2 * k, 2 + 2 * k], t[2 + 2 * k, 2 + 2 * k]) - t[0, 0] for k in labels])
+        self.ends = enter + leave - self.step
+
+    def row(self, tok: str, glued: bool, form: str) -> int:
+        i = self.rows
+        if i >= len(self.table):
+            self.table = np.concatenate((self.table, np.zeros_like(self.table)))
+        at = [self.index[f] for f in self.tokens(tok, glued, form) if f in self.index]
+        self.table[i] = self.weights[at].sum(0) if at else 0
+        self.rows += 1
         return i
 
-    def decode(self, rows: list[tuple[list[str], list[bool], list[str]]]) -> list[np.ndarray]:
-        """Best labels of each stretch; stretches of like length share a numpy batch."""
-        out: list = [None] * len(rows)
-        order = sorted(range(len(rows)), key=lambda i: len(rows[i][0]))
-        edge = 2 * REACH
-        for a in range(0, len(order), 256):
-            part = order[a : a + 256]
-            # rows first: the table may grow, or start anew when full
-            if len(self.known) > 400_000:
-                self.known.clear()
-            ids = [[self._row(*x) for x in zip(*rows[i])] for i in part]
-            size = np.array([len(x) for x in ids])
-            longest = int(size.max()) if len(size) else 0
-            if not longest:
-                for i in part:
-                    out[i] = np.empty(0, int)
-                continue
-            grid = np.zeros((len(part), longest + edge), np.int64)
-            for j, x in enumerate(ids):
-                grid[j, REACH : REACH + len(x)] = x
-            e = sum(self.table[grid[:, o : o + longest], o] for o in range(edge + 1))
-            score = e[:, 0] + np.where(ALLOWED[0], 0, NEVER)
-            back = np.zeros((longest, len(part), len(LABELS)), np.int8)
-            for t in range(1, longest):
-                cand = score[:, :, None] + self.pairs
-                back[t] = cand.argmax(1)
-                new = cand.max(1) + e[:, t]
-                score = np.where((t < size)[:, None], new, score)
-            best = score.argmax(1)
-            labels = np.zeros((len(part), longest), np.int8)
-            for t in range(longest - 1, -1, -1):
-                inside = t < size
-                labels[:, t] = np.where(inside, best, 0)
-                if t:
-                    best = np.where(inside, back[t][np.arange(len(part)), best], best)
-            for j, i in enumerate(part):
-                out[i] = labels[j, : size[j]]
+    def ids(self, text: str, where: Gate) -> list[int]:
+        """Rows of the table for the tokens of a text."""
+        toks = split(text)
+        out = list(map(self.known.__getitem__, toks))
+        for j, form in forms(text, toks, self.kinds, where).items():
+            out[j] = self.known[toks[j], form]
+        return out
+
+    def labels(self, texts: list, where: Gate):
+        """(place of a text, place of a token, label) of all tokens of all texts whose label isn't O, as arrays, text by text."""
+        part, n = [], 0
+        for i, t in enumerate(texts):
+            if t:
+                if not part and self.rows > self.MOST:
+                    self.known.clear()
+                    self.kinds.clear()
+                    self.rows = 1
+                x = self.ids(t, where)
+                part.append((i, x))
+                n += len(x)
+                if n > CHUNK:
+                    yield self.decode(part)
+                    part, n = [], 0
+        if n:
+            yield self.decode(part)
+
+    def decode(self, part: list[tuple[int, list[int]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The labels of the best paths of some texts, given by the rows of their tokens."""
+        size = np.array([len(x) for _, x in part])
+        start = np.cumsum(size + REACH) - size  # rows of zeros before, between and after the texts
+        ids = np.zeros(int(start[-1] + size[-1]) + REACH, np.int64)
+        live = np.zeros(len(ids), bool)
+        for a, (_, x) in zip(start.tolist(), part):
+            ids[a : a + len(x)] = x
+            live[a : a + len(x)] = True
+        e = np.zeros((len(ids), len(LABELS)), np.float32)
+        for o in range(2 * REACH + 1):
+            e[REACH:-REACH] += self.table[ids[o : o + len(ids) - 2 * REACH], o]
+        open_ = live & self.possible(e, live)
+        edge = np.flatnonzero(np.diff(np.concatenate(([False], open_, [False]))))
+        begin, end = edge[::2], edge[1::2]
+        label = np.zeros(len(ids), np.int8)
+        order = np.argsort(end - begin, kind="stable")
+        a = 0
+        while a < len(order):
+            b = min(len(order), a + 512)
+            while b - a > 1 and (b - a) * int((end - begin)[order[b - 1]]) > CHUNK:
+                b = (a + b) // 2
+            self._viterbi(e, live, begin[order[a:b]], end[order[a:b]], label)
+            a = b
+        at = np.flatnonzero(label)
+        text = np.searchsorted(start, at, "right") - 1
+        return np.array([i for i, _ in part])[text], at - start[text], label[at]
+
+    def possible(self, e: np.ndarray, live: np.ndarray) -> np.ndarray:
+        """Where an item can lie on the best path.
+
+        An item is on it only if it adds at least what O in its place would. Over all items of a kind that contain a
+        token, what one adds is at most the largest sum of neighbours' advantages around the token, plus the ends.
+        """
+        out = np.zeros(len(e), bool)
+        for k in range(len(KINDS)):
+            gain = np.maximum(e[:, 1 + 2 * k], e[:, 2 + 2 * k]).astype(np.float64) - e[:, 0] + self.step[k]
+            gain[~live] = -1e4
+            total = np.concatenate(([0.0], np.cumsum(gain)))
+            left = total[1:] - np.minimum.accumulate(total)[:-1]
+            right = np.maximum.accumulate(total[::-1])[::-1][1:] - total[:-1]
+            out |= left + right - gain + self.ends[k] > -1e-3
         return out
 
+    def _viterbi(self, e: np.ndarray, live: np.ndarray, begin: np.ndarray, end: np.ndarray, label: np.ndarray) -> None:
+        """Write the best labels of runs of like length, given that the tokens beside a run have label O, if there are any."""
+        n, size = len(begin), end - begin
+        longest = int(size.max())
+        first = np.where(live[begin - 1][:, None], self.pairs[0], np.where(ALLOWED[0], 0, NEVER).astype(np.float32))
+        after = np.where(live[end][:, None], self.pairs[:, 0], np.float32(0))
+        score = e[begin] + first
+        back = np.zeros((longest, n, len(LABELS)), np.int8)
+        for t in range(1, longest):
+            cand = score[:, :, None] + self.pairs
+            back[t] = cand.argmax(1)
+            inside = t < size
+            score = np.where(inside[:, None], cand.max(1) + e[np.minimum(begin + t, len(e) - 1)], score)
+        best = (score + after).argmax(1)
+        rows = np.arange(n)
+        for t in range(longest - 1, -1, -1):
+            inside = t < size
+            label[(begin + t)[inside]] = best[inside]
+            if t:
+                best = np.where(inside, back[t][rows, best], best)
+
 
 def train(names: frozenset, lower: frozenset, common: frozenset, table=None, rounds: int = 60, decay: float = 0.15) -> Field:
     """Maximum likelihood with a quadratic penalty, by Adam; every quantity is exact, by forward and backward sums.
@@ -391,14 +476,16 @@ def train(names: frozenset, lower: frozenset, common: frozenset, table=None, rou
     tokens = Tokens(sample_names, lower | own, common)
     index: dict[str, int] = {}
     seqs = []
+    kinds, where = Kinds(tokens.plain), Gate()
     for text, items in table:
-        toks, begin, end, glued = split(text)
+        toks, at = split(text), bounds(text)
         y = np.zeros(len(toks), int)
         for b, e, kind in items:
-            inside = [i for i in range(len(toks)) if begin[i] >= b and end[i] <= e]
+            inside = [i for i in range(len(toks)) if at[i][0] >= b and at[i][1] <= e]
             for n, i in enumerate(inside):
                 y[i] = LABELS.index(("I-" if n else "B-") + kind)
-        feats = [[index.setdefault(f, len(index)) for f in tokens(*x)] for x in zip(toks, glued, forms(text, begin, toks, tokens.plain))]
+        form = forms(text, toks, kinds, where)
+        feats = [[index.setdefault(f, len(index)) for f in tokens(*bare(x), form.get(i, ""))] for i, x in enumerate(toks)]
         seqs.append((feats, y))
     n, longest, width, k = len(seqs), max(len(y) for _, y in seqs), 4, len(LABELS)
     none = len(index)
@@ -508,51 +595,20 @@ def passes(kind: str, item: str, before: str) -> bool:
     return SHAPES.search(item) is not None
 
 
-def stretches(text: str, where: Gate) -> list[tuple[int, int]]:
-    """Candidates with their surroundings, ends moved to white space, overlapping ones joined."""
-    out: list[tuple[int, int]] = []
-    for begin, end in where.spots(text):
-        a, b = max(0, begin - MARGIN), min(len(text), end + MARGIN)
-        while a and not text[a - 1].isspace() and begin - a < 2 * MARGIN:
-            a -= 1
-        while b < len(text) and not text[b].isspace() and b - end < 2 * MARGIN:
-            b += 1
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
-
-
 def items_in(field: Field, where: Gate, texts: list) -> list[list[tuple[int, int, str]]]:
-    """(begin, end, kind) of the items of each text."""
-    owner, base, rows, spots = [], [], [], []
-    for i, t in enumerate(texts):
-        for a, b in stretches(t, where) if t else ():
-            toks, begin, end, glued = split(t[a:b])
-            if toks:
-                owner.append(i)
-                base.append(a)
-                rows.append((toks, glued, forms(t[a:b], begin, toks, field.tokens.plain)))
-                spots.append((begin, end))
+    """(begin, end, kind) of the items of each text; every token of every text is looked at."""
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-    for i, a, (begin, end), labels in zip(owner, base, spots, field.decode(rows)):
-        at = np.flatnonzero(labels)
+    for of, at, labels in field.labels(texts, where):
         if not len(at):
             continue
-        t = texts[i]
-        j = 0
-        while j < len(at):
-            first = at[j]
-            kind = LABELS[labels[first]][2:]
-            inside = LABELS.index("I-" + kind)
-            last = first
-            while j + 1 < len(at) and at[j + 1] == last + 1 and labels[at[j + 1]] == inside:
-                j += 1
-                last = at[j]
-            j += 1
-            b, e = a + begin[first], a + end[last]
-            if passes(kind, t[b:e], t[max(0, b - 40) : b]):
+        kind_of = (labels - 1) // 2
+        heads = np.flatnonzero((labels % 2 == 1) | np.concatenate(([True], (of[1:] != of[:-1]) | (at[1:] != at[:-1] + 1) | (kind_of[1:] != kind_of[:-1]))))
+        last, spans = -1, []
+        for i, first, final, label in zip(of[heads].tolist(), at[heads].tolist(), at[np.append(heads[1:], len(at)) - 1].tolist(), labels[heads].tolist()):
+            if i != last:
+                last, spans = i, bounds(texts[i])
+            b, e, kind = spans[first][0], spans[final][1], LABELS[label][2:]
+            if passes(kind, texts[i][b:e], texts[i][max(0, b - 40) : b]):
                 out[i].append((b, e, kind))
     return out
 

@@ -228,6 +228,47 @@ def test_personal_items_of_sentences_held_out(spark):
     assert all(want[k] > 10 and hit[k] >= 0.8 * want[k] for k in pii.KINDS), (hit, want)
 
 
+def test_personal_items_anywhere(spark):
+    """No sign is needed near an item, and the labels are those of Viterbi over whole texts."""
+    names = frozenset({"anna", "daniel", "rose"})
+    field, gate = pii.train(names, frozenset({"plan", "budget", "review"}), stop_words()), pii.gate(names)
+    shown = ["My neighbour |Erik Duprafeez-Gubaard| mended the fence.", "I lent the ladder to |Grace Riduova-Vilek|.", "Her mailbox is |tanlektan at mail (dot) tanri-works (dot) org|.", "The garden of |Gutanba, Omar| is green."]
+    far = "They built the harvest guide in autumn. " * 300
+    for t in shown:
+        a, item, b = t.split("|")
+        assert [(x, y) for x, y, _ in pii.items_in(field, gate, [far + a + item + b + " " + far])[0]] == [(len(far + a), len(far + a + item))], t
+    table = [t for t, _ in pii.labelled(1, seed=5)]
+    texts = table + [" ".join(table[i : i + 9]) for i in range(0, len(table), 9)] + [None, "", " ", "\n", "\t Anna\xa0 Melin", "a" * 3000, "Rose", "12", "_", far]
+    got = [np.zeros(len(pii.split(t or "")), int) for t in texts]
+    for of, at, labels in field.labels(texts, gate):
+        for i, a, label in zip(of, at, labels):
+            got[i][a] = label
+    for t, have in zip(texts, got):
+        ids = [0] * pii.REACH + (field.ids(t, gate) if t else []) + [0] * pii.REACH
+        e = np.array([sum(field.table[ids[j + o], o] for o in range(2 * pii.REACH + 1)) for j in range(len(have))], np.float64).reshape(-1, len(pii.LABELS))
+        if len(e):
+            score, back = e[0] + np.where(pii.ALLOWED[0], 0, pii.NEVER), []
+            for x in e[1:]:
+                back.append((score[:, None] + field.pairs).argmax(0))
+                score = (score[:, None] + field.pairs).max(0) + x
+            path = [int(score.argmax())]
+            for b in reversed(back):
+                path.append(int(b[path[-1]]))
+            assert have.tolist() == path[::-1], t
+
+
+def test_forms_of_tokens(spark):
+    """What is sought by signs and digits alone is what one pattern of all forms finds."""
+    everything = pii.form_pattern(tuple(pii.FORMS))
+    texts = [t for t, _ in pii.labelled(2, seed=8)] + ["x12 AB 12 34 56 C,QQ123456A X1234567 +4915112345678(030) 1234 5678", "(12) 3456-7890 12345 Main Street; 00491234567890", "straße 5 Hafenstraße 5, am Tor 7", "AB 12 1AB 12 34 56 D", "one two three four five six seven's"]
+    for t in texts:
+        toks, kinds = pii.split(t), pii.Kinds(frozenset())
+        want = [(m.span(), m.lastgroup) for m in everything.finditer(t)]
+        held = pii.Gate()(t, sum(kinds[x] in "dD" for x in toks))
+        got = (pii.by_digits(t) if held == ("digit",) else list(pii.form_pattern(held).finditer(t))) if held else []
+        assert [(m.span(), m.lastgroup) for m in got] == want, t
+
+
 def test_ordinary_words(spark):
     texts = spark.createDataFrame([("The plan went on",), ("the plan of Plan B",), ("rare",), (None,), ("",)] + [("copy copy rare2x",)] * 5, "t string")
     assert pii.ordinary_words([texts.coalesce(1)]) == {"plan"}

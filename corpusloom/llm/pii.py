@@ -67,6 +67,7 @@ class Gate:
     AT = re.compile(r"at ?[\])}]")
     STREET_BEFORE = re.compile(r"(?:strasse|str\.|allee|weg|gasse|platz|ring|damm|ufer) \d")
     WAY_BEFORE = re.compile(r"\b(?:am|an der|rue|calle|via|avenida|plaza) [^\W\d_]+ \d")
+    STREETS, WAYS = ("strasse ", "str. ", "allee ", "weg ", "gasse ", "platz ", "ring ", "damm ", "ufer "), ("am ", "an der ", "rue ", "calle ", "via ", "avenida ", "plaza ")
     DIGIT = re.compile(r"\d")
 
     def __call__(self, text: str, digit_words: int) -> tuple[str, ...]:
@@ -78,7 +79,8 @@ class Gate:
             out.append("mail")
         if self.DIGIT.search(text):
             out.append("digit")
-            if odd or self.STREET_BEFORE.search(low) or self.WAY_BEFORE.search(low):
+            street = any(x in low for x in self.STREETS) and self.STREET_BEFORE.search(low)
+            if odd or street or (any(x in low for x in self.WAYS) and self.WAY_BEFORE.search(low)):
                 out.append("strasse")
         if odd or digit_words > 5:
             out.append("spoken")
@@ -184,7 +186,7 @@ def forms(text: str, toks: list[str], kinds: Kinds, where: Gate) -> dict[int, st
                 marked[j] = "x"
         row = "".join(marked)
     for m in PAIRS.finditer(row):
-        n = sum(c in "CD" for c in m[0])
+        n = m[0].count("C") + m[0].count("D")
         for j in range(*m.span()):
             out[j] = "ipair" if j > m.start() else f"bpair{min(n, 4)}"
     return out
@@ -355,7 +357,7 @@ class Field:
     def __init__(self, tokens: Tokens, index: dict[str, int], weights: np.ndarray, pairs: np.ndarray):
         self.tokens, self.index, self.weights, self.pairs = tokens, index, weights, pairs
         self.kinds, self.known = Kinds(tokens.plain), Known(self)
-        self.table, self.rows = np.zeros((4096, 2 * REACH + 1, len(LABELS)), np.float32), 1
+        self.table, self.rows = np.zeros((2 * REACH + 1, 4096, len(LABELS)), np.float32), 1
         # what transitions can add to an item of each kind over O in its place: at its ends, and between its tokens
         t, labels = pairs.astype(np.float64), range(len(KINDS))
         out = [0, *(1 + 2 * k for k in labels)]
@@ -366,10 +368,10 @@ class Field:
 
     def row(self, tok: str, glued: bool, form: str) -> int:
         i = self.rows
-        if i >= len(self.table):
-            self.table = np.concatenate((self.table, np.zeros_like(self.table)))
+        if i >= self.table.shape[1]:
+            self.table = np.concatenate((self.table, np.zeros_like(self.table)), axis=1)
         at = [self.index[f] for f in self.tokens(tok, glued, form) if f in self.index]
-        self.table[i] = self.weights[at].sum(0) if at else 0
+        self.table[:, i] = self.weights[at].sum(0) if at else 0
         self.rows += 1
         return i
 
@@ -410,7 +412,7 @@ class Field:
             live[a : a + len(x)] = True
         e = np.zeros((len(ids), len(LABELS)), np.float32)
         for o in range(2 * REACH + 1):
-            e[REACH:-REACH] += self.table[ids[o : o + len(ids) - 2 * REACH], o]
+            e[REACH:-REACH] += self.table[o].take(ids[o : o + len(ids) - 2 * REACH], axis=0)
         open_ = live & self.possible(e, live)
         edge = np.flatnonzero(np.diff(np.concatenate(([False], open_, [False]))))
         begin, end = edge[::2], edge[1::2]
@@ -449,20 +451,19 @@ class Field:
         longest = int(size.max())
         first = np.where(live[begin - 1][:, None], self.pairs[0], np.where(ALLOWED[0], 0, NEVER).astype(np.float32))
         after = np.where(live[end][:, None], self.pairs[:, 0], np.float32(0))
-        score = e[begin] + first
-        back = np.zeros((longest, n, len(LABELS)), np.int8)
+        scores = np.empty((longest, n, len(LABELS)), np.float32)
+        scores[0] = e[begin] + first
+        step = self.pairs[:, None, :]
         for t in range(1, longest):
-            cand = score[:, :, None] + self.pairs
-            back[t] = cand.argmax(1)
-            inside = t < size
-            score = np.where(inside[:, None], cand.max(1) + e[np.minimum(begin + t, len(e) - 1)], score)
-        best = (score + after).argmax(1)
-        rows = np.arange(n)
+            new = (scores[t - 1].T[:, :, None] + step).max(0) + e[np.minimum(begin + t, len(e) - 1)]
+            scores[t] = np.where((t < size)[:, None], new, scores[t - 1])
+        best = (scores[-1] + after).argmax(1)
+        into = self.pairs.T
         for t in range(longest - 1, -1, -1):
             inside = t < size
             label[(begin + t)[inside]] = best[inside]
             if t:
-                best = np.where(inside, back[t][rows, best], best)
+                best = np.where(inside, (scores[t - 1] + into[best]).argmax(1), best)
 
 
 def train(names: frozenset, lower: frozenset, common: frozenset, table=None, rounds: int = 60, decay: float = 0.15) -> Field:

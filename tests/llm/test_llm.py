@@ -245,7 +245,7 @@ def test_personal_items_anywhere(spark):
             got[i][a] = label
     for t, have in zip(texts, got):
         ids = [0] * pii.REACH + (field.ids(t, gate) if t else []) + [0] * pii.REACH
-        e = np.array([sum(field.table[ids[j + o], o] for o in range(2 * pii.REACH + 1)) for j in range(len(have))], np.float64).reshape(-1, len(pii.LABELS))
+        e = np.array([sum(field.table[o, ids[j + o]] for o in range(2 * pii.REACH + 1)) for j in range(len(have))], np.float64).reshape(-1, len(pii.LABELS))
         if len(e):
             score, back = e[0] + np.where(pii.ALLOWED[0], 0, pii.NEVER), []
             for x in e[1:]:
